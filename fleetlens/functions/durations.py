@@ -5,21 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# checked before any cast: a failed cast to double costs an exception inside the JVM
+_NUMBER = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
+_DURATION = r"^[-+]?[0-9.eE+]+(:[0-9.]+){0,3}$"
 # seconds per part, from the last part of a colon-separated duration to the first
 _PART_SECONDS = [1.0, 60.0, 3600.0, 86400.0]
 
 
+def parse_number(text: Column) -> Column:
+    """Double of a plain decimal number; null for anything else."""
+    text = F.trim(text)
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+
+
 def parse_duration(col: Column | str) -> Column:
     """Seconds in ``"150"``, ``MM:SS``, ``HH:MM:SS`` or ``D:HH:MM:SS``; null when malformed."""
     col = F.col(col) if isinstance(col, str) else col
-    parts = F.reverse(F.split(F.trim(col), ":"))
-    weights = F.slice(F.array(*[F.lit(w) for w in _PART_SECONDS]), 1, F.least(F.size(parts), F.lit(4)))
-    seconds = F.aggregate(
-        F.zip_with(parts, weights, lambda part, weight: part.try_cast("double") * weight),
-        F.lit(0.0),
-        lambda total, part: total + part,
-    )
-    return F.when(F.size(parts) <= 4, seconds)
+    text = F.trim(col)
+    colons = F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
+    seconds = F.lit(0.0)
+    for back, weight in enumerate(_PART_SECONDS):
+        part = F.substring_index(F.substring_index(text, ":", -(back + 1)), ":", 1)
+        seconds = seconds + F.when(colons >= back, part.try_cast("double") * weight).otherwise(0.0)
+    return F.when(text.rlike(_DURATION), seconds)
 
 
 def walltime(seconds: Column | str) -> Column:
@@ -28,7 +36,12 @@ def walltime(seconds: Column | str) -> Column:
     hours = F.floor(seconds / 3600)
     minutes = F.floor((seconds - hours * 3600) / 60)
     rest = F.rint(seconds - hours * 3600 - minutes * 60).cast("bigint")
-    return F.when(seconds.isNotNull(), F.format_string("%02d:%02d:%02d", hours, minutes, rest))
+    shown = F.concat(_two_digits(hours), F.lit(":"), _two_digits(minutes), F.lit(":"), _two_digits(rest))
+    return F.when(seconds >= 0, shown)
+
+
+def _two_digits(number: Column) -> Column:
+    return F.when(number < 10, F.concat(F.lit("0"), number.cast("string"))).otherwise(number.cast("string"))
 
 
 def parse_datetime(col: Column | str) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .durations import parse_number
+
 # Patterns of the lines and files that carry run state.
 ERROR_PREFIX = r"^(?i)error"
 PERCENT_DONE = r"([0-9.]+)% COMPLETE"
@@ -44,7 +45,8 @@ def is_error(line: Column | str, anywhere: bool = False) -> Column:
 
 def percent_done(line: Column | str) -> Column:
     line = F.col(line) if isinstance(line, str) else line
-    return F.regexp_extract(line, PERCENT_DONE, 1).try_cast("double")
+    number = F.regexp_extract(line, PERCENT_DONE, 1)
+    return F.when(line.contains("% COMPLETE"), parse_number(number))
 
 
 def classify_lines(log_lines: DataFrame, anywhere: bool = False) -> DataFrame:
@@ -65,14 +67,20 @@ def classify_lines(log_lines: DataFrame, anywhere: bool = False) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
-def _round_binary(values: pd.Series) -> pd.Series:
-    return values.map(lambda value: None if pd.isna(value) else round(value, 2))
-
-
 def round_percent(value: Column) -> Column:
-    """Two decimals, rounded on the exact binary value (Spark rounds on the printed decimals)."""
-    return _round_binary(value)
+    """Two decimals, half to even on the exact binary value.
+
+    Spark's ``round`` works on the printed decimals, where 2.675 is a tie; its binary value lies
+    below. The fraction is scaled by 2^62, which loses no bit that matters, and compared to the
+    midpoint of its two candidates in exact decimals.
+    """
+    whole = F.floor(value)
+    fraction = ((value - whole) * float(1 << 62)).cast("bigint").cast("decimal(20,0)")
+    below = F.floor(value * 100)
+    midpoint = (below * 2 + 1 - whole * 200).cast("decimal(5,0)")
+    above_midpoint = fraction * F.lit(200).cast("decimal(3,0)") - midpoint * F.lit(1 << 62).cast("decimal(20,0)")
+    up = (above_midpoint > 0) | ((above_midpoint == 0) & (below % 2 != 0))
+    return (below + F.when(up, 1).otherwise(0)) / F.lit(100.0)
 
 
 def status_text(status: Column | str = "status", progress: Column | str = "progress_text") -> Column:
@@ -84,4 +92,4 @@ def status_text(status: Column | str = "status", progress: Column | str = "progr
 def run_number(name: Column | str) -> Column:
     """Decimal suffix after the last ``_``, else -1."""
     name = F.col(name) if isinstance(name, str) else name
-    return F.coalesce(F.regexp_extract(name, r"_(\d+)$", 1).try_cast("double"), F.lit(-1.0))
+    return F.coalesce(parse_number(F.regexp_extract(name, r"_(\d+)$", 1)), F.lit(-1.0))

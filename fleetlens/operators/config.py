@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.literals import (
-    canonical_literal,
-    field_type_of,
+    canonical_entries,
+    let,
     literal_text,
     object_literals,
     quote,
@@ -86,9 +86,8 @@ def _by_kind(defaults: dict[str, dict[str, str]]) -> Column:
 
 
 def _over(base: Column, top: Column) -> Column:
-    """Map ``base`` with the entries of ``top`` in place of its own."""
-    keys = F.map_keys(top)
-    return F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(keys, k)), top)
+    """Map ``base`` with the entries of ``top`` in place of its own (literals are never SQL null)."""
+    return F.map_zip_with(base, top, lambda _, held, given: F.coalesce(given, held))
 
 
 def fill_defaults(documents: DataFrame, attribute_names: dict[str, list[str]] | None = None) -> DataFrame:
@@ -119,13 +118,9 @@ def fill_defaults(documents: DataFrame, attribute_names: dict[str, list[str]] |
     return follow("tidal_spinup_timestep", step, F.col("kind").isin("adcirc", "schism"))
 
 
-def canonical_fields(kind: Column, fields: Column) -> Column:
-    return F.transform_values(fields, lambda k, literal: canonical_literal(literal, field_type_of(kind, k)))
-
-
 def to_document(documents: DataFrame) -> DataFrame:
     """Add ``raw``: the JSON text of each document, nulls kept, keys lower-cased, values in written form."""
-    entries = F.map_entries(canonical_fields(F.col("kind"), _lower_keys(F.col("fields"))))
+    entries = canonical_entries(F.col("kind"), _lower_keys(F.col("fields")))
     lines = F.transform(entries, lambda e: F.concat(F.lit("  "), quote(e.key), F.lit(": "), e.value))
     return documents.withColumn(
         "raw",
@@ -161,18 +156,23 @@ def apply_override(kind: Column, base: Column, override: Column, stop_at_equal:
     With ``stop_at_equal`` the override ends, in its own order, at the first field whose value
     equals the base's.
     """
+    kept = override
     if stop_at_equal:
+        held = F.map_from_entries(canonical_entries(kind, F.map_filter(base, lambda k, _: F.map_contains_key(override, k))))
+        equal = let(
+            held,
+            lambda known: F.transform(
+                canonical_entries(kind, override),
+                lambda e: F.coalesce(F.try_element_at(known, e.key) == e.value, F.lit(False)),
+            ),
+        )
+        first_equal = F.array_position(equal, F.lit(True)).cast("int")
         entries = F.map_entries(override)
-
-        def equal(entry: Column) -> Column:
-            declared = field_type_of(kind, entry.key)
-            held = F.try_element_at(base, entry.key)
-            return held.isNotNull() & (canonical_literal(held, declared) == canonical_literal(entry.value, declared))
-
-        first = F.array_position(F.transform(entries, lambda e: F.coalesce(equal(e), F.lit(False))), F.lit(True))
-        kept = F.when(first > 0, F.slice(entries, 1, first.cast("int") - 1)).otherwise(entries)
-        override = F.map_from_entries(kept)
-    return F.when(override.isNull(), base).otherwise(_over(base, override))
+        kept = let(
+            first_equal,
+            lambda at: F.map_from_entries(F.slice(entries, 1, F.when(at > 0, at - 1).otherwise(F.size(entries)))),
+        )
+    return F.when(override.isNull(), base).otherwise(_over(base, kept))
 
 
 def overlay(documents: DataFrame, members: DataFrame, stop_at_equal: bool = False) -> DataFrame:
@@ -265,8 +265,8 @@ def same_document(left: DataFrame, right: DataFrame) -> DataFrame:
     """``(config_dir, kind, is_same)`` over the documents of both sides; a missing one differs."""
 
     def side(documents: DataFrame, name: str) -> DataFrame:
-        fields = canonical_fields(F.col("kind"), F.col("fields"))
-        return documents.select("config_dir", "kind", F.array_sort(F.map_entries(fields)).alias(name))
+        entries = canonical_entries(F.col("kind"), F.col("fields"))
+        return documents.select("config_dir", "kind", F.array_sort(entries).alias(name))
 
     return side(left, "l").join(side(right, "r"), ["config_dir", "kind"], "full_outer").select(
         "config_dir", "kind", F.coalesce(F.col("l") == F.col("r"), F.lit(False)).alias("is_same")

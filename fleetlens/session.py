@@ -17,6 +17,7 @@ def local_session(app: str = "fleetlens", cpus: int | str = "*") -> SparkSession
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("FLEETLENS_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
