@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # checked before any cast: a failed cast to double costs an exception inside the JVM
 _NUMBER = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
-_DURATION = r"^[-+]?[0-9.eE+]+(:[0-9.]+){0,3}$"
+_DURATION = r"^[-+]?[0-9.eE+-]+(:[0-9.]+){0,3}$"
 # seconds per part, from the last part of a colon-separated duration to the first
 _PART_SECONDS = [1.0, 60.0, 3600.0, 86400.0]
 
