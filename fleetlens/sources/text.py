@@ -87,10 +87,7 @@ def number_text_lines(texts: DataFrame, key: list[str], text: str = "text") -> D
 def scan_config_docs(spark: SparkSession, roots: list[str] | str) -> DataFrame:
     """Configuration documents below ``roots``, one row each; ``parse_documents`` flags malformed ones."""
     docs = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "configure_*.json")
-        .text(roots)
+        spark.read.text(roots, wholetext=True, recursiveFileLookup=True, pathGlobFilter="configure_*.json")
         .select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("raw"))
     )
     return docs.select(
