@@ -28,13 +28,10 @@ ROLE_PATTERNS = {
 LOG_GLOB = "{ADCIRC_*_*.out.log,ADCIRC_*_*.err.log,SCHISM_*_*.out.log,SCHISM_*_*.err.log,PET*.ESMF_LogFile,mirror.out}"
 
 
-def file_role(rel_path: Column | str) -> Column:
-    """What a file (path inside its run directory) tells about the run; null for other files."""
-    rel_path = F.col(rel_path) if isinstance(rel_path, str) else rel_path
-    role = None
-    for name, pattern in ROLE_PATTERNS.items():
-        role = F.when(rel_path.rlike(pattern), name) if role is None else role.when(rel_path.rlike(pattern), name)
-    return role
+def file_role(rel_path: str) -> Column:
+    """What a file (column with its path inside the run directory) tells about the run; null for other files."""
+    cases = " ".join(f"WHEN {rel_path} RLIKE r'{pattern}' THEN '{name}'" for name, pattern in ROLE_PATTERNS.items())
+    return F.expr(f"CASE {cases} END")
 
 
 def is_error(line: Column | str, anywhere: bool = False) -> Column:
