@@ -40,7 +40,7 @@ def with_platform(df: DataFrame, platforms: DataFrame | None = None) -> DataFram
         .withColumn("account", F.coalesce("account", "default_account"))
         .withColumn("partition", F.coalesce("partition", "default_partition"))
         .withColumn("tasks", F.coalesce("tasks", F.col("processors_per_node").cast("bigint")))
-        .drop("default_account", "default_partition", "module_file")
+        .drop("default_account", "default_partition")
     )
 
 

@@ -45,20 +45,17 @@ WRITTEN_FILES = {
 WRITTEN_FILES_COUPLED = ["nems.configure", "atm_namelist.rc", "model_configure", "config.rc"]
 WRITTEN_FILE_ASWIP = "fort.22"
 
-# Platform name -> processors per node, launcher, Slurm use, account, partition, module file.
+# Platform name -> processors per node, launcher, Slurm use, account, partition.
 PLATFORMS = [
-    ("HERA", 40, "srun", True, "coastal", None,
-     "/scratch2/COASTAL/coastal/save/shared/repositories/ADC-WW3-NWM-NEMS/modulefiles/envmodules_intel.hera"),
-    ("ORION", 40, "srun", True, "nosofs", "orion",
-     "/work/noaa/nosofs/share/repositories/ADC-WW3-NWM-NEMS/modulefiles/envmodules_intel.orion"),
-    ("STAMPEDE2", 68, "ibrun", True, "coastal", "development",
-     "/work/07531/zrb/stampede2/builds/ADC-WW3-NWM-NEMS/modulefiles/envmodules_intel.stampede"),
-    ("LOCAL", 1, None, False, None, None, None),
-    ("SLURM", 36, "srun", True, None, None, None),
+    ("HERA", 40, "srun", True, "coastal", None),
+    ("ORION", 40, "srun", True, "nosofs", "orion"),
+    ("STAMPEDE2", 68, "ibrun", True, "coastal", "development"),
+    ("LOCAL", 1, None, False, None, None),
+    ("SLURM", 36, "srun", True, None, None),
 ]
 PLATFORM_SCHEMA = (
     "platform string, processors_per_node int, launcher string, uses_slurm boolean, "
-    "default_account string, default_partition string, module_file string"
+    "default_account string, default_partition string"
 )
 
 # E-mail notification options and tidal sources, by name.
