@@ -101,8 +101,8 @@ changes AS (
 
 def _flat(member_docs: DataFrame) -> DataFrame:
     return member_docs.select(
-        "config_dir", "run_name", "kind", F.explode("fields").alias("field", "literal")
-    ).select("config_dir", "run_name", "kind", "field", literal_text(F.col("literal")).alias("value"))
+        "config_dir", "run_name", "kind", F.explode_outer("fields").alias("field", "literal")
+    ).where("field is not null").select("config_dir", "run_name", "kind", "field", literal_text(F.col("literal")).alias("value"))
 
 
 def _overlay_sql(changes: str) -> str:
@@ -413,7 +413,7 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_format("o_orderdate", "yyyyMMdd")
-    shown = lambda c: F.date_format(parse_datetime(c), "yyyy-MM-dd HH:mm:ss")
+    shown = lambda c: parse_datetime(c).cast("string")
     return table(spark, sf_dir, "orders").select(
         "o_orderkey",
         shown(day).alias("compact"),

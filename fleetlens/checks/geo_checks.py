@@ -88,7 +88,7 @@ def clipped_track(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("user_id") % 5 != 0, F.col("first") + shift(F.col("user_id") % 7 + F.col("user_id") % 4)).alias("end_ts"),
     )
     clipped = clip_track(events.select(storm.alias("storm_id"), "event_id", "ts"), windows)
-    return clipped.select("config_dir", "storm_id", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return clipped.select("config_dir", "storm_id", "event_id", F.substring(F.col("ts").cast("string"), 1, 19).alias("at"))
 
 
 @check(
@@ -111,7 +111,7 @@ def parsed_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     track = parse_best_track(e.select(F.concat(F.lit("s"), F.col("user_id")).alias("storm_id"), line.alias("value")))
     return track.select(
         F.col("radius_ne").cast("bigint").alias("event_id"), "storm_id", "basin", "storm_number",
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"),
+        F.substring(F.col("ts").cast("string"), 1, 19).alias("at"),
         (F.col("lat") + 0.0).alias("lat"), (F.col("lon") + 0.0).alias("lon"), "max_wind", "quadrant",
     )
 

@@ -100,7 +100,7 @@ SELECT config_dir, run_name, phase,
        CASE WHEN is_spinup THEN '2008-08-23 00:00:00' ELSE '2008-08-24 00:00:00' END AS ends FROM placed"""
 )
 def run_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = lambda name: F.date_format(name, "yyyy-MM-dd HH:mm:ss")
+    shown = lambda name: F.col(name).cast("string")
     return _runs(spark, sf_dir).select(
         "config_dir", "run_name", "phase", shown("begin_ts").alias("begins"), shown("finish_ts").alias("ends")
     )
@@ -263,7 +263,7 @@ def output_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 11 != 0).alias("output_surface"), (k % 4 == 0).alias("output_stations"),
         F.lit(3600.0).alias("surface_output_interval"), (F.col("p_size") * 60.0).alias("stations_output_interval"),
     )
-    shown = lambda name: F.date_format(name, "yyyy-MM-dd HH:mm:ss")
+    shown = lambda name: F.col(name).cast("string")
     return output_plan(configs).select(
         "config_dir", "variable", "place", "interval_s", shown("start_ts").alias("starts"), shown("end_ts").alias("ends"),
         "spinup_interval_s", shown("spinup_start_ts").alias("spinup_starts"),

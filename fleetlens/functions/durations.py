@@ -55,3 +55,8 @@ def parse_datetime(col: Column | str) -> Column:
 def shift_seconds(ts: Column, seconds: Column) -> Column:
     """``ts`` moved by a number of seconds (fractions kept)."""
     return ts + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
+def seconds_between(start: Column, end: Column) -> Column:
+    """Seconds from one zone-less timestamp to another, whatever the session's time zone."""
+    return (end - start).cast("interval second").cast("decimal(20,6)").cast("double")

@@ -56,10 +56,14 @@ def parse_documents(config_docs: DataFrame) -> DataFrame:
 
 
 def config_fields(documents: DataFrame) -> DataFrame:
-    """Long form: one row per field with its position and display text."""
-    return documents.select(
-        "config_dir", "kind", F.posexplode("fields").alias("pos", "field", "literal")
-    ).select("config_dir", "kind", "pos", "field", literal_text(F.col("literal")).alias("value"))
+    """Long form: one row per field with its position and display text.
+
+    The outer explode keeps the optimizer from adding a filter that would parse every document twice.
+    """
+    entries = documents.select("config_dir", "kind", F.posexplode_outer("fields").alias("pos", "field", "literal"))
+    return entries.where("field is not null").select(
+        "config_dir", "kind", "pos", "field", literal_text(F.col("literal")).alias("value")
+    )
 
 
 def typed_fields(documents: DataFrame, kind: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durations import seconds_between
 from ..functions.geodesic import WGS84_A, WGS84_RF, ellipsoidal_distance
 from ..functions.names import storm_code
 from .ordered import previous_values, running_sum
@@ -25,7 +26,8 @@ def clip_track(track: DataFrame, windows: DataFrame, bucket_seconds: int = 86400
     )
 
     def bucket(ts: str):
-        return F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts)) / bucket_seconds)
+        epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+        return F.floor(seconds_between(epoch, F.col(ts)) / bucket_seconds)
 
     spread = closed.select(
         "config_dir", "storm_id", "_from", "_to", F.explode(F.sequence(bucket("_from"), bucket("_to"))).alias("_bucket")

@@ -115,3 +115,20 @@ def test_ranges(spark):
                                        "config_dir string, pos int, component string, processors int")
     rows = processor_ranges(components).orderBy("pos").collect()
     assert [(r.lo, r.hi) for r in rows] == [(0, 0), (1, 1), (2, 601)]
+
+
+def test_times_do_not_depend_on_the_session_zone(spark, ensemble):
+    """In this zone the start time does not exist and the first day has 23 hours."""
+    from fleetlens.operators.config import to_document
+
+    model = {**MODEL, "modeled_start_time": "2008-03-09 02:30:00", "modeled_end_time": "2008-03-10 02:30:00"}
+    write(ensemble / "gap", {**DOCUMENTS, "adcirc": model})
+    kept = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        run = plan_directory(spark, [str(ensemble / "gap")]).where("run_name = 'run_1'").select("duration_s", F.col("finish_ts").cast("string").alias("t")).first()
+        assert (run.duration_s, run.t) == (86400.0, "2008-03-10 02:30:00")
+        docs = parse_documents(scan_config_docs(spark, [str(ensemble / "gap")])).where("kind = 'adcirc'")
+        assert json.loads(to_document(docs).first().raw)["modeled_start_time"] == "2008-03-09 02:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", kept)
