@@ -350,8 +350,8 @@ def aswip_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @check(
-    """WITH l AS (SELECT p_partkey AS k, p_size, p_name FROM part WHERE p_partkey % 5 <> 0),
-r AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE p_size + 1 END AS p_size, p_name FROM part WHERE p_partkey % 7 <> 0)
+    """WITH l AS (SELECT p_partkey AS k, p_size, p_name FROM part WHERE p_type <> 'ECONOMY'),
+r AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE p_size + 1 END AS p_size, p_name FROM part WHERE p_type <> 'SMALL')
 SELECT 'p' || coalesce(l.k, r.k) AS config_dir, 'atmesh' AS kind,
        l.k IS NOT NULL AND r.k IS NOT NULL AND coalesce(l.p_size = r.p_size, false) AS is_same
 FROM l FULL JOIN r ON l.k = r.k"""
@@ -363,12 +363,12 @@ def same_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.lit("atmesh").alias("kind")
     size = F.col("p_size")
     other = F.when(F.col("p_partkey") % 2 == 0, size).otherwise(size + 1)
-    left = part.where("p_partkey % 5 <> 0").select(
+    left = part.where("p_type <> 'ECONOMY'").select(
         key, kind,
         F.create_map(F.lit("nws"), size.cast("string"), F.lit("interval"), F.concat(size, F.lit("0")),
                      F.lit("resource"), _quoted("p_name")).alias("fields"),
     )
-    right = part.where("p_partkey % 7 <> 0").select(
+    right = part.where("p_type <> 'SMALL'").select(
         key, kind,
         F.create_map(F.lit("resource"), _quoted("p_name"), F.lit("interval"), F.concat(size, F.lit("0.0")),
                      F.lit("nws"), other.cast("string")).alias("fields"),
