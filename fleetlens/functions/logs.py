@@ -48,13 +48,13 @@ def percent_done(line: Column | str) -> Column:
 
 def classify_lines(log_lines: DataFrame, anywhere: bool = False) -> DataFrame:
     """Add the flags and values of each line in one pass; values of another role's lines stay null."""
-    line = F.col("line")
-    role = file_role("file_name")
+    line, role = F.col("line"), F.col("role")
     out_log = role.isin("adcirc_out", "schism_out")
     stepping = role == "schism_output"
-    return log_lines.select(
-        "*",
-        role.alias("role"),
+    # the role is a column of its own first, so its patterns are matched once per line
+    return log_lines.withColumn("role", file_role("file_name")).select(
+        *log_lines.columns,
+        "role",
         F.when(role.isin("adcirc_out", "esmf"), is_error(line, anywhere)).otherwise(F.lit(False)).alias("is_error"),
         F.when(role == "adcirc_out", percent_done(line)).alias("percent"),
         F.when(out_log, line.contains(END_MARK)).otherwise(F.lit(False)).alias("is_end"),
