@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .passages import remove_repeats
+from .secret_scan import KINDS, find_secrets, spans
 from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +37,7 @@ def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"""
     WITH words AS (
-        SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents
+        SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
     ), starts AS (
         SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words
     ), windows AS (
@@ -47,7 +48,7 @@ def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT doc_id, list(place) AS places FROM covered GROUP BY doc_id
     ), kept AS (
         SELECT doc_id, len(w) AS n_words, len(coalesce(places, [])) AS n_removed,
-               list_filter(w, (x, i) -> NOT list_contains(coalesce(places, []), i)) AS k
+               list_filter(w, lambda x, i: NOT list_contains(coalesce(places, []), i)) AS k
         FROM words LEFT JOIN gone USING (doc_id)
     )
     SELECT doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
@@ -56,3 +57,13 @@ def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), window=35)
     return cut.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query()
+def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("findings", lambda m: m["kind"] < 3)
+    count = lambda k: F.size(F.filter("findings", lambda m: m["kind"] == k)).cast("bigint").alias(f"n_{KINDS[k]}")
+    return found.select(
+        "row.doc_id", *(count(k) for k in range(3)), F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("findings")).alias("spans")
+    )
