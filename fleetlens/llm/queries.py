@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .passages import remove_repeats
+from .quality_rules import judge
 from .secret_scan import KINDS, find_secrets, spans
 from .simhash import near_duplicates
 
@@ -67,3 +68,10 @@ def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "row.doc_id", *(count(k) for k in range(3)), F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("findings")).alias("spans")
     )
+
+
+@query()
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    judged = judge(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -28,9 +28,10 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 THRESHOLD = 0.5
 #: Documents (those with the smallest hash of their row) that the models are trained on.
 SAMPLE_DOCS = 4000
-#: Added to every pair count; pairs never seen are as likely as in a uniform string then.
-SMOOTHING = 0.5
+#: Weight, in pairs, of how often a character stands anywhere against how often it follows the one before it.
+PULL = 4.0
 CODES = 128
+#: Characters of candidates; each counts once more than it was seen.
 ALPHABET = 66
 PLACEHOLDER = "[SECRET]"
 
@@ -85,11 +86,19 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
 
 
 def _odds(counts: dict[tuple[int, int], int]) -> list[float]:
-    after = [[0] * CODES for _ in range(2)]
-    for (label, pair), n in counts.items():
-        after[label][pair // CODES] += n
-    likely = lambda label, pair: (counts.get((label, pair), 0) + SMOOTHING) / (after[label][pair // CODES] + SMOOTHING * ALPHABET)
-    return [round(math.log(likely(1, p) / likely(0, p)), 4) for p in range(CODES * CODES)]
+    """Log odds per pair: a character's chance after another, drawn towards its chance anywhere."""
+
+    def model(label: int):
+        before, alone = [0] * CODES, [0] * CODES
+        for (own, pair), n in counts.items():
+            if own == label:
+                before[pair // CODES] += n
+                alone[pair % CODES] += n
+        whole = sum(alone) + ALPHABET
+        return lambda a, b: (counts.get((label, a * CODES + b), 0) + PULL * (alone[b] + 1) / whole) / (before[a] + PULL)
+
+    random, ordinary = model(1), model(0)
+    return [round(math.log(random(a, b) / ordinary(a, b)), 4) for a in range(CODES) for b in range(CODES)]
 
 
 def find_secrets(docs: DataFrame, odds: list[float] | None = None) -> DataFrame:
