@@ -2,28 +2,61 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetlens.llm.packing import Limits, pack
 from fleetlens.llm.passages import without_repeats
+from fleetlens.llm.quality_rules import keep_good
+from fleetlens.llm.secret_scan import without_secrets
 from fleetlens.llm.simhash import keep_one
+from fleetlens.session import ensure_checkpoint_dir
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the rules learnt from ``labels``."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest doc_id, of each group of near copies."""
     return keep_one(docs, n_words=3, max_bits=2)
 
 
-def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 35 words or more that stand elsewhere too."""
     return without_repeats(docs, window=35)
 
 
-STAGES = [("simhash near-dedup", near_copies), ("substring dedup", repeats)]
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with secrets replaced by a placeholder."""
+    return without_secrets(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their ids and their places in sequences of 1024 tokens."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), Limits(tokens=1024))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("simhash near-dedup", near_copies),
+    ("substring dedup", passages),
+    ("secret scans", secrets),
+    ("packing", sequences),
+]
 
-#: Learned rules, hash links and subword packing have no SQL form; tests hold the stages against plain versions.
+#: Learnt rules, hash links and subword packing have no SQL form; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each written to the shared folder and read again; the rows of the last one."""
+    folder = f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for place, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{place}")
+        docs = spark.read.parquet(f"{folder}/{place}")
     return docs
