@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from . import bpe, language_id
 from .packing import Limits, pack
 from .passages import remove_repeats
 from .quality_rules import judge
 from .secret_scan import KINDS, find_secrets, spans
 from .simhash import near_duplicates
+from .token_counts import TokenRollup, counted, inserts, utf8_bytes, words
 from .topk import integer_vectors, top_k
+from .warc import archive, read_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -130,3 +134,54 @@ def op6_language_by_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.where(F.col("doc_id").isNotNull() & ~language_id.held_out(F.col("doc_id"))).select("text", "lang"))
     found = language_id.identify(docs.select("doc_id", "text"), model)
     return found.select("row.doc_id", language_id.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    """
+    WITH payloads AS (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+    ), firsts AS (
+        SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM payloads
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND first_id IS DISTINCT FROM page_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
+    FROM firsts
+    """
+)
+def op7_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_pages(archive(table(spark, sf_dir, "pages", "page_id", "url", "html")), payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+LONE_BAR = r"(?<![^\x20\x09-\x0D])\|(?![^\x20\x09-\x0D])"
+
+
+@query(
+    r"""
+    WITH docs AS (
+        SELECT source, lang, coalesce(text, '') AS text, doc_id = min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents
+    ), counts AS (
+        SELECT source, lang, 'words-1' AS tokenizer,
+               len(list_filter(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda w: w <> '|')) AS tokens FROM docs WHERE first
+        UNION ALL
+        SELECT source, lang, 'bytes-1', octet_length(encode(text)) FROM docs WHERE first
+    )
+    SELECT source, lang, tokenizer, count(*) AS documents, sum(tokens)::BIGINT AS tokens FROM counts GROUP BY ALL
+    """
+)
+def op5_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches: all documents come, table bars stop counting as words, exact copies go. The last two come twice."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    text = F.col("text")
+    rollup = TokenRollup(spark, f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}")
+    load = inserts(counted(docs, {"words-1": words(text), "bytes-1": utf8_bytes(text)}))
+    bars = F.regexp_count(text, F.lit(LONE_BAR))
+    revised = inserts(counted(docs.where(bars > 0), {"words-1": words(text) - bars}), 1, "revise")
+    marks = docs.select("doc_id", "source", "lang", F.sha2(F.coalesce(text, F.lit("")), 256).alias("mark"))
+    first = marks.groupBy("mark").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    copies = marks.join(first, "mark").where("doc_id <> first_id")
+    gone = inserts(counted(copies, {name: F.lit(0).cast("bigint") for name in ("words-1", "bytes-1")}), 2, "delete")
+    for name, changes in (("load", load), ("bars", revised), ("copies", gone), ("bars", revised), ("copies", gone)):
+        rollup.commit(name, changes)
+    return rollup.totals()

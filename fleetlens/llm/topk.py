@@ -97,7 +97,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_rows: in
 
     Both tables are ``vec_id, vector`` as from ``integer_vectors``. A candidate with the query's own vec_id is no match. Ties go to the
     smaller vec_id. Different vectors under one vec_id are rows of their own; as queries their lists are one, the
-    best k of all. Empty tables give an empty one.
+    best k of all. A product that a long cannot hold wraps around. Empty tables give an empty one.
     """
     tiles = lambda rows, size: max(1, math.ceil(rows.count() / size))
     n_queries, n_shards = tiles(queries, query_rows), tiles(candidates, shard_rows)
