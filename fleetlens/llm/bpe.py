@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -112,19 +113,23 @@ def starts(kinds: np.ndarray) -> np.ndarray:
     return begin | failed | (now == AT_QUOTE)
 
 
-def slices(texts: list[str]) -> Iterator[tuple[bytes, list[int]]]:
-    """UTF-8 bytes of each text, and the byte offsets at which its tokens' slices begin, the end included."""
-    table = classes()
-    todo: list[str] = []
-    size = 0
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about CHARS characters together."""
+    group, size = [], 0
     for text in texts:
-        todo.append(text)
+        group.append(text)
         size += len(text) + 1
         if size >= CHARS:
-            yield from _slices(todo, table)
-            todo, size = [], 0
-    if todo:
-        yield from _slices(todo, table)
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def slices(texts: list[str]) -> Iterator[tuple[bytes, list[int]]]:
+    """UTF-8 bytes of each text, and the byte offsets at which its tokens' slices begin, the end included."""
+    for group in _groups(texts):
+        yield from _slices(group, classes())
 
 
 def _slices(texts: list[str], table: np.ndarray) -> Iterator[tuple[bytes, list[int]]]:
@@ -147,15 +152,122 @@ def _slices(texts: list[str], table: np.ndarray) -> Iterator[tuple[bytes, list[i
         yield data, [*(where[cuts[i] : cuts[i + 1]] - offsets[firsts[i]]).tolist(), len(data)]
 
 
+#: Slices of at most so many bytes are merged side by side; longer ones one by one.
+SHORT = 64
+NONE = (1 << 31) - 1
+
+
+class PairRanks:
+    """Rank of the token that two neighbouring tokens make, looked up for whole arrays in an open hash table."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        splits = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        left, right, rank = (np.array(c, np.uint64) for c in zip(*splits)) if splits else (np.zeros(0, np.uint64),) * 3
+        self.bits = max(4, int(np.ceil(np.log2(2 * len(left) + 1))) + 1)
+        self.keys = np.full(1 << self.bits, (1 << 64) - 1, np.uint64)
+        self.found = np.full(1 << self.bits, NONE, np.int32)
+        keys = left << np.uint64(32) | right
+        todo, at = np.arange(len(keys)), self._home(keys)
+        while len(todo):
+            free = self.keys[at] == np.uint64((1 << 64) - 1)
+            self.keys[at[free]] = keys[todo[free]]
+            placed = self.keys[at] == keys[todo]
+            self.found[at[placed]] = rank[todo[placed]]
+            todo, at = todo[~placed], at[~placed] + 1 & (1 << self.bits) - 1
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        at = self._home(keys)
+        out = self.found[at]
+        held = self.keys[at]
+        todo = np.flatnonzero(held != keys)
+        out[todo] = NONE
+        todo = todo[held[todo] != np.uint64((1 << 64) - 1)]
+        at = at[todo]
+        while len(todo):
+            at = at + 1 & (1 << self.bits) - 1
+            held = self.keys[at]
+            same = held == keys[todo]
+            out[todo[same]] = self.found[at[same]]
+            on = ~same & (held != np.uint64((1 << 64) - 1))
+            todo, at = todo[on], at[on]
+        return out
+
+
 class Vocabulary:
     """Ranks of byte strings, with the ids of recent slices."""
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.tokens = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            self.tokens[rank] = token
+        self.sizes = np.array([len(t) for t in self.tokens])
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.pairs = PairRanks(self.ranks)
         self.recent: dict[bytes, tuple[int, ...]] = {}
 
+    def learn(self, pieces: list[bytes]) -> None:
+        """Work out the ids of slices and remember them."""
+        short: list[bytes] = []
+        for piece in pieces:
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                self.recent[piece] = (whole,)
+            elif len(piece) > SHORT:
+                self.recent[piece] = self.merged(piece)
+            else:
+                short.append(piece)
+        for at in range(0, len(short), 1 << 14):
+            self._merge_side_by_side(short[at : at + (1 << 14)])
+
+    def _merge_side_by_side(self, pieces: list[bytes]) -> None:
+        """One merge in every slice per round: that of its lowest pair, the leftmost if several are."""
+        if not pieces:
+            return
+        ids = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        own = np.repeat(np.arange(len(pieces)), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        rank = np.full(len(ids), NONE, np.int32)
+        inner = np.flatnonzero(own[:-1] == own[1:])
+        rank[inner] = self.pairs.of(ids[inner], ids[inner + 1])
+        done_ids, done_own = [], []
+        while len(ids):
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            sizes = np.diff(np.append(first, len(ids)))
+            least = np.repeat(np.minimum.reduceat(rank, first), sizes)
+            open_ = least < NONE
+            if not open_.all():
+                done_ids.append(ids[~open_])
+                done_own.append(own[~open_])
+                ids, own, rank, least = ids[open_], own[open_], rank[open_], least[open_]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == least)
+            at = at[np.concatenate(([True], own[at[1:]] != own[at[:-1]]))]
+            ids[at] = rank[at]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            moved = at - np.arange(len(at))
+            ids, own, rank = ids[keep], own[keep], rank[keep]
+            rank[moved] = NONE
+            after = moved[moved + 1 < len(ids)]
+            after = after[own[after] == own[after + 1]]
+            before = moved[moved > 0]
+            before = before[own[before - 1] == own[before]] - 1
+            for places in (after, before):
+                rank[places] = self.pairs.of(ids[places], ids[places + 1])
+        ids, own = np.concatenate(done_ids), np.concatenate(done_own)
+        order = np.argsort(own, kind="stable")
+        flat, cuts = ids[order].tolist(), np.cumsum(np.bincount(own, minlength=len(pieces))).tolist()
+        start = 0
+        for piece, end in zip(pieces, cuts):
+            self.recent[piece] = tuple(flat[start:end])
+            start = end
+
     def merged(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one slice: the pair of neighbours with the lowest rank is merged, the leftmost first, until none has one."""
         whole = self.ranks.get(piece)
@@ -212,23 +324,20 @@ class Vocabulary:
             at = end[at]
         return tuple(out)
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, list[int]]]:
+    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
         """UTF-8 bytes and ids of each text."""
-        recent = self.recent
-        for data, at in slices(texts):
-            pieces = [data[a:b] for a, b in zip(at, at[1:])]
-            for piece in set(pieces).difference(recent):
-                recent[piece] = self.merged(piece)
-            ids: list[int] = []
-            for found in map(recent.__getitem__, pieces):
-                ids += found
-            if len(recent) > REMEMBERED:
-                recent.clear()
-            yield data, ids
-
-    def ends(self, ids: list[int]) -> np.ndarray:
+        found = self.recent
+        for group in _groups(texts):
+            cut = [(data, [data[a:b] for a, b in zip(at, at[1:])]) for data, at in slices(group)]
+            self.learn(list(set().union(*(pieces for _, pieces in cut)).difference(found)))
+            for data, pieces in cut:
+                yield data, np.fromiter(chain.from_iterable(map(found.__getitem__, pieces)), np.int32)
+            if len(found) > REMEMBERED:
+                found.clear()
+
+    def ends(self, ids: np.ndarray) -> np.ndarray:
         """Byte offset at which each token ends."""
-        return np.cumsum(np.fromiter((len(self.tokens[i]) for i in ids), np.int64, len(ids)))
+        return np.cumsum(self.sizes[ids])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -280,7 +389,7 @@ def encode(docs: DataFrame, ranks_path: str, offsets: bool = True) -> DataFrame:
             rows = batch.column(0)
             for at, texts in _by_size(rows.field(rows.type.get_field_index("text"))):
                 ids = [found for _, found in own.encode(texts)]
-                columns = [_list([np.array(i, np.int32) for i in ids])]
+                columns = [_list(ids)]
                 if offsets:
                     columns.append(_list([own.ends(i).astype(np.int32) for i in ids]))
                 yield pa.RecordBatch.from_arrays([rows.slice(at, len(texts)), *columns], names)
@@ -298,7 +407,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(ranks_path)
         for batch in batches:
-            found = [own.decode(ids.as_py()) if ids.is_valid else None for ids in batch.column(place)]
+            found = [own.decode(ids.values.to_numpy().tolist()) if ids.is_valid else None for ids in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)

@@ -21,7 +21,7 @@ def library():
 
 
 def ids(texts):
-    return [found for _, found in vocabulary(PATH).encode(texts)]
+    return [found.tolist() for _, found in vocabulary(PATH).encode(texts)]
 
 
 @given(st.lists(st.text(st.sampled_from(list("'stmdrvel  \n\t　aé1½!.-中\U0001f600\x1c\x85'")), max_size=40), max_size=8))
