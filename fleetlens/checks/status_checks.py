@@ -30,7 +30,7 @@ from ..operators.status import (
 )
 from ..session import ensure_checkpoint_dir
 from ..sources.text import number_text_lines
-from ..streaming.live_status import stream_run_status
+from ..streaming.live_status import latest_states, stream_run_status, write_states
 from .inputs import FLEET_CTE, SCHISM_CTE, fleet, fleet_lines, schism_fleet
 from .registry import check, table
 
@@ -173,11 +173,12 @@ def run_issues_verbose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @check(
     _ISSUES_VERBOSE
-    + """SELECT run_path, category, severity, file_name, coalesce(line_no // 500, 0) AS part,
-                string_agg(message, '|' ORDER BY line_no) AS messages FROM rated GROUP BY ALL"""
+    + """SELECT run_path, category, severity, file_name, (place - 1) // 50 AS part,
+                string_agg(message, '|' ORDER BY line_no, message) AS messages
+         FROM (SELECT *, row_number() OVER (PARTITION BY run_path, category, severity, file_name ORDER BY line_no, message) AS place FROM rated) GROUP BY ALL"""
 )
 def grouped_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = group_issues(collect_issues(*fleet(spark, sf_dir), verbose=True), lines_per_part=500)
+    grouped = group_issues(collect_issues(*fleet(spark, sf_dir), verbose=True), lines_per_part=50)
     return grouped.withColumn("messages", F.array_join("messages", "|"))
 
 
@@ -196,8 +197,8 @@ def status_of_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @check(
     _ISSUES_VERBOSE
     + f""", full_status AS ({_status_sql("true").replace("WITH ", "WITH ", 1)}),
-grouped AS (SELECT run_path, category, file_name, CAST(coalesce(line_no // 10000, 0) AS BIGINT) AS part,
-                   list(message ORDER BY line_no) AS messages FROM rated GROUP BY ALL)
+grouped AS (SELECT run_path, category, file_name, CAST(0 AS BIGINT) AS part,
+                   list(message ORDER BY line_no, message) AS messages FROM rated GROUP BY ALL)
 SELECT run_path, run_name, status, progress, category, file_name, part,
        '{{"status":"' || status || '","progress":"' || progress_text || '%"' ||
        coalesce(',"' || category || '":{{"' || file_name || '":' || CAST(to_json(messages) AS VARCHAR) || '}}', '') || '}}' AS record
@@ -476,37 +477,63 @@ def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @check(
-    """WITH l AS (SELECT '/fleet/' || user_id || '_' || (event_id % 10) AS run_path, event_type, event_id, value FROM events)
-SELECT run_path, coalesce(max(CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS DOUBLE) END), 0.0) AS progress,
-       bool_or(event_type = 'signup') AS ended, bool_or(event_type = 'error') AS has_error,
-       CASE WHEN bool_or(event_type = 'error') THEN 'error' WHEN bool_or(event_type = 'signup') THEN 'completed' ELSE 'running' END AS status
-FROM l GROUP BY 1"""
+    """WITH l AS (SELECT '/fleet/' || user_id || '_' || (event_id % 10) AS run_path, event_type, floor(value)::BIGINT AS n,
+                  CASE event_id // 10 % 5 WHEN 0 THEN 'setup' WHEN 1 THEN 'run' WHEN 2 THEN 'err' WHEN 3 THEN 'mirror' ELSE 'pet' END AS part,
+                  user_id % 2 = 1 AS schism FROM events),
+r AS (SELECT run_path, schism,
+             bool_or(part IN ('setup', 'run')) AS started,
+             (bool_or(part = 'setup') AND NOT bool_or(part = 'setup' AND event_type = 'signup'))
+             OR (bool_or(part = 'run') AND NOT bool_or(part = 'run' AND event_type = 'signup')) AS open,
+             bool_or(part = 'err' OR (part = 'pet' AND event_type = 'error' AND NOT schism) OR (part IN ('setup', 'run') AND NOT schism AND event_type = 'error')) AS bad,
+             max(CASE WHEN part = 'run' AND event_type = 'purchase' AND n <> 0 THEN n END) AS of_run,
+             max(CASE WHEN part = 'setup' AND event_type = 'purchase' AND n <> 0 THEN n END) AS of_setup,
+             max(CASE WHEN part = 'mirror' AND event_type = 'purchase' THEN 400 + n END) AS total,
+             max(CASE WHEN part = 'mirror' AND event_type IN ('view', 'click') THEN n END) AS step,
+             bool_or(part = 'mirror' AND event_type = 'error' AND n % 7 = 0) AS done
+      FROM l WHERE NOT (schism AND part = 'pet') AND NOT (NOT schism AND part = 'mirror') GROUP BY ALL)
+SELECT run_path, CASE WHEN schism THEN 'SCHISM' ELSE 'ADCIRC' END AS model,
+       CASE WHEN schism AND done THEN 100.0 WHEN schism THEN coalesce(round_even(100.0 * step / total, 2), 0.0)
+            ELSE coalesce(of_run, of_setup, 0)::DOUBLE END::DOUBLE AS progress,
+       started AND NOT open AS ended, bad AS has_error,
+       CASE WHEN NOT started THEN 'not_started' WHEN bad THEN 'error' WHEN NOT open THEN 'completed' ELSE 'running' END AS status
+FROM r"""
 )
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream of log lines, run to its end; the final state is read back from the shared folder."""
+    """Events as a stream of lines of setup, run, error and stepping logs, run to its end in update mode."""
     import uuid
 
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    n, kind = F.floor("value").cast("string"), F.col("event_type")
-    lines = events.select(
-        F.concat(F.lit("/fleet/"), F.col("user_id"), F.lit("_"), F.col("event_id") % 10).alias("run_path"),
-        F.lit("ADCIRC_HOTSTART_x.out.log").alias("file_name"),
-        F.when(kind == "error", F.concat(F.lit("ERROR "), n))
-        .when(kind == "purchase", F.concat(n, F.lit("% COMPLETE")))
+    n, kind = F.floor("value").cast("bigint"), F.col("event_type")
+    schism = F.col("user_id") % 2 == 1
+    part = F.element_at(F.array(*[F.lit(p) for p in ("setup", "run", "err", "mirror", "pet")]), (F.floor(F.col("event_id") / 10) % 5 + 1).cast("int"))
+    name = F.when(schism, F.lit("SCHISM_")).otherwise(F.lit("ADCIRC_"))
+    out_line = (
+        F.when((kind == "error") & ~schism, F.concat(F.lit("ERROR "), n))
+        .when((kind == "purchase") & ~schism, F.concat(n, F.lit("% COMPLETE")))
         .when(kind == "signup", F.lit("End Epilogue"))
         .otherwise(F.concat(F.lit("step "), n))
+    )
+    stepping = (
+        F.when(kind == "purchase", F.concat(F.lit(" time stepping begins...   1   "), n + 400))
+        .when(kind.isin("view", "click"), F.concat(F.lit("TIME STEP= "), n, F.lit("; x")))
+        .when((kind == "error") & (n % 7 == 0), F.lit("Run completed successfully at t"))
+        .otherwise(F.concat(F.lit("it "), n))
+    )
+    lines = events.where(~(schism & (part == "pet")) & ~(~schism & (part == "mirror"))).select(
+        F.concat(F.lit("/fleet/"), F.col("user_id"), F.lit("_"), F.col("event_id") % 10).alias("run_path"),
+        F.when(part == "setup", F.concat(name, F.lit("SETUP_x.out.log")))
+        .when(part == "run", F.concat(name, F.lit("HOTSTART_x.out.log")))
+        .when(part == "err", F.concat(name, F.lit("HOTSTART_x.err.log")))
+        .when(part == "mirror", F.lit("outputs/mirror.out"))
+        .otherwise(F.lit("PET0.ESMF_LogFile"))
+        .alias("file_name"),
+        F.when(part.isin("setup", "run"), out_line)
+        .when(part == "mirror", stepping)
+        .when(kind == "error", F.concat(F.lit("ERROR "), n))
+        .otherwise(F.concat(F.lit("info "), n))
         .alias("line"),
     )
     folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    result = f"{folder}/state"
-    query = (
-        stream_run_status(lines)
-        .writeStream.outputMode("complete")
-        .option("checkpointLocation", f"{folder}/log")
-        .trigger(availableNow=True)
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(result))
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(result)
+    write_states(stream_run_status(lines), folder).trigger(availableNow=True).start().awaitTermination()
+    return latest_states(spark, folder)

@@ -34,7 +34,7 @@ def storm_code(basin: Column, number: Column, start_year: Column) -> Column:
 
 def capitalize(name: Column) -> Column:
     """First character upper, the rest lower."""
-    return F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substring(name, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(name, 1, 1)), F.lower(F.substr(name, F.lit(2), F.length(name))))
 
 
 def constituent_group(names: Column | str, groups: dict[str, list[str]]) -> Column:

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions.literals import (
     canonical_entries,
+    declared_types,
     let,
     literal_text,
     object_literals,
     quote,
     typed_value,
 )
+from ..functions.paths import resolve_path
 from ..schemas import (
     ABSENT_DEFAULTS,
     ASWIP_NWS,
@@ -38,15 +40,18 @@ def kind_of_file(file_name: Column | str) -> Column:
 
 
 def _lower_keys(literals: Column) -> Column:
-    """Keys lower-cased; of keys that fall together the later one stays."""
-    entries = F.transform(F.map_entries(literals), lambda e: F.struct(F.lower(e.key).alias("key"), e.value.alias("value")))
-    keys = F.transform(entries, lambda e: e.key)
-    latest = F.filter(
-        entries,
-        lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later.key == e.key),
-    )
-    unique = F.size(F.array_distinct(keys)) == F.size(keys)
-    return F.map_from_entries(F.when(unique, entries).otherwise(latest))
+    """Keys lower-cased; of keys that fall together the later one stays. The literals are worked out once."""
+    lowered = F.transform(F.map_entries(literals), lambda e: F.struct(F.lower(e.key).alias("key"), e.value.alias("value")))
+
+    def distinct(entries: Column) -> Column:
+        keys = F.transform(entries, lambda e: e.key)
+        latest = F.filter(
+            entries,
+            lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later.key == e.key),
+        )
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(latest)
+
+    return F.map_from_entries(let(lowered, distinct))
 
 
 def parse_documents(config_docs: DataFrame) -> DataFrame:
@@ -134,6 +139,31 @@ def to_document(documents: DataFrame) -> DataFrame:
     )
 
 
+def _each_path(documents: DataFrame, types: list[str], change) -> DataFrame:
+    """Documents with the text of every path field of these types changed; nulls and other literals stay."""
+
+    def changed(declared: Column) -> Column:
+        return F.transform_values(
+            "fields",
+            lambda name, literal: F.when(
+                F.try_element_at(declared, name).isin(*types) & F.startswith(literal, F.lit('"')),
+                quote(change(literal_text(literal))),
+            ).otherwise(literal),
+        )
+
+    return documents.withColumn("fields", let(declared_types(F.col("kind")), changed))
+
+
+def move_paths(documents: DataFrame, folder: Column | str = "config_dir") -> DataFrame:
+    """Documents whose relative paths are moved to ``folder`` (by default their configuration's) and made absolute."""
+    return _each_path(documents, ["path", "fixed_path"], lambda path: resolve_path(path, folder))
+
+
+def relative_to(documents: DataFrame, folder: Column | str) -> DataFrame:
+    """Documents whose paths are given as seen from ``folder``; fields that are never relative stay."""
+    return _each_path(documents, ["path"], lambda path: resolve_path(path, folder, relative=True))
+
+
 def ensemble_members(documents: DataFrame) -> DataFrame:
     """``(config_dir, run_name, overrides)``: one row per perturbation; overrides null for a plain copy."""
     drivers = documents.where(F.col("kind") == "modeldriver")
@@ -184,7 +214,7 @@ def overlay(documents: DataFrame, members: DataFrame, stop_at_equal: bool = Fals
     override = F.try_element_at("overrides", F.col("kind"))
     return (
         documents.select("config_dir", "kind", "fields")
-        .join(members, "config_dir")
+        .join(members.select("config_dir", "run_name", "overrides"), "config_dir")
         .select(
             "config_dir",
             "run_name",

@@ -20,19 +20,23 @@ def same_mesh(left: DataFrame, right: DataFrame, key: list[str], values: list[st
 
 
 def dense_attributes(nodes: DataFrame, defaults: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """``(mesh_id, attribute, node_id, value)`` for every node: its exception or the attribute's default."""
+    """``(mesh_id, attribute, node_id, value)`` for every node: its exception or the attribute's default.
+
+    ``value`` may be of any type; where the tables have ``values``, arrays of one or more numbers, those are spread as they are.
+    """
+    held = "values" if "values" in defaults.columns else "value"
     spread = nodes.select("mesh_id", "node_id").join(
-        defaults.select("mesh_id", "attribute", F.col("value").alias("_default")), "mesh_id"
+        defaults.select("mesh_id", "attribute", F.col(held).alias("_default")), "mesh_id"
     )
     return spread.join(
-        exceptions.select("mesh_id", "attribute", "node_id", F.col("value").alias("_given"), F.lit(True).alias("_has")),
+        exceptions.select("mesh_id", "attribute", "node_id", F.col(held).alias("_given"), F.lit(True).alias("_has")),
         ["mesh_id", "attribute", "node_id"],
         "left",
     ).select(
         "mesh_id",
         "attribute",
         "node_id",
-        F.when(F.col("_has"), F.col("_given")).otherwise(F.col("_default")).alias("value"),
+        F.when(F.col("_has"), F.col("_given")).otherwise(F.col("_default")).alias(held),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durations import shift_seconds, walltime
@@ -17,7 +17,6 @@ from ..schemas import (
     WRITTEN_FILES,
     WRITTEN_FILES_COUPLED,
 )
-from .ordered import running_sum
 
 
 def platform_dim(spark) -> DataFrame:
@@ -245,8 +244,9 @@ def total_processors(components: DataFrame) -> DataFrame:
 
 def processor_ranges(components: DataFrame) -> DataFrame:
     """Add the contiguous processor range ``[lo, hi]`` of each component in order of ``pos``."""
-    summed = running_sum(components, ["config_dir"], [F.col("pos")], "processors", "_upto")
-    return summed.select(
+    # a configuration has a handful of components, so a plain window holds few rows
+    upto = F.sum("processors").over(Window.partitionBy("config_dir").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return components.withColumn("_upto", upto).select(
         *components.columns,
         (F.col("_upto") - F.col("processors")).cast("bigint").alias("lo"),
         (F.col("_upto") - 1).cast("bigint").alias("hi"),

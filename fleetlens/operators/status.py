@@ -10,6 +10,7 @@ from ..functions.paths import base_name
 from ..schemas import MINIMUM_OUTPUT_BYTES, MODEL_MARKERS, SEVERITY
 from .ordered import last_wins, rank_within
 
+# Fixed values here and in ``collect_issues``: the texts of the messages.
 _STATUS_NAMES = sorted(SEVERITY, key=SEVERITY.get)
 _NO_END = "job is still running (no `Epilogue`)"
 _OUT_LOG_PATTERN = {"ADCIRC": "ADCIRC_*_*.out.log", "SCHISM": "SCHISM_*_*.out.log"}
@@ -33,14 +34,17 @@ def _model_of(adcirc: Column, schism: Column) -> Column:
     return F.when(adcirc, "ADCIRC").when(schism, "SCHISM")
 
 
-def detect_model(run_files: DataFrame) -> DataFrame:
-    """``(run_path, model)`` of every directory that holds all marker files of a model."""
+def detect_model(run_files: DataFrame, model: str | None = None) -> DataFrame:
+    """``(run_path, model)`` of every directory that holds all marker files of a model; with ``model``, of that one."""
     markers = [m for names in MODEL_MARKERS.values() for m in names]
+    found = _model_of(F.col("_adcirc"), F.col("_schism"))
+    if model is not None:
+        found = F.when(F.col(f"_{model.lower()}"), F.lit(model))
     return (
         run_files.where(F.col("rel_path").isin(*markers))
         .groupBy("run_path")
         .agg(_has_all("ADCIRC").alias("_adcirc"), _has_all("SCHISM").alias("_schism"))
-        .select("run_path", _model_of(F.col("_adcirc"), F.col("_schism")).alias("model"))
+        .select("run_path", found.alias("model"))
         .where(F.col("model").isNotNull())
     )
 
@@ -282,11 +286,10 @@ def collect_issues(
     role = file_role("rel_path")
     facts = _file_facts(run_files)
     if model is None:
-        runs = detect_model(run_files)
         facts = facts.withColumn("model", _model_of(F.col("is_adcirc"), F.col("is_schism"))).where("model is not null")
     else:
-        runs = run_files.select("run_path").distinct().withColumn("model", F.lit(model))
         facts = facts.withColumn("model", F.lit(model))
+    runs = facts.select("run_path", "model")
     adcirc = F.col("model") == "ADCIRC"
     nothing = F.lit(None).cast("bigint")
 
@@ -397,15 +400,17 @@ def last_error_per_file(error_lines: DataFrame) -> DataFrame:
 
 
 def group_issues(issues: DataFrame, lines_per_part: int = 10_000) -> DataFrame:
-    """Messages of each run, category and file in line order, in parts of bounded size.
+    """Messages of each run, category and file in line order, in parts of ``lines_per_part`` messages.
 
-    ``part`` numbers the stretches of ``lines_per_part`` line numbers, so an endless log makes
-    more rows, not a longer one.
+    ``part`` counts messages, not line numbers, so a log has the same parts however it was split when read, and an
+    endless log makes more rows, not a longer one.
     """
-    part = F.coalesce(F.floor(F.col("line_no") / lines_per_part), F.lit(0)).cast("bigint")
+    keys = ["run_path", "category", "severity", "file_name"]
+    numbered = rank_within(issues, keys, [F.col("line_no"), F.col("message")], "_rank")
+    part = F.floor((F.col("_rank") - 1) / lines_per_part).cast("bigint")
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "message")))
     return (
-        issues.groupBy("run_path", "category", "severity", "file_name", part.alias("part"))
+        numbered.groupBy(*keys, part.alias("part"))
         .agg(ordered.alias("_m"))
         .select("run_path", "category", "severity", "file_name", "part", F.col("_m.message").alias("messages"))
     )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.report_tree import rollup_tree
 from ..operators.status import collect_issues, outermost_runs, run_status, sort_report, verbose_record
@@ -13,9 +12,9 @@ from ..sources.text import scan_log_lines
 
 def fleet_status(spark: SparkSession, roots: list[str], model: str | None = None, verbose: bool = False) -> DataFrame:
     """Status of every run, in report order."""
-    status = run_status(scan_run_files(spark, roots), scan_log_lines(spark, roots), None, verbose)
-    if model is not None:
-        status = status.where(F.col("model") == model)
+    status = run_status(scan_run_files(spark, roots), scan_log_lines(spark, roots), model, verbose)
+    if model is not None:  # every directory was asked for the model
+        status = status.where("status <> 'not_configured'")
     return sort_report(status.join(outermost_runs(status.select("run_path")), "run_path", "left_semi"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-RUN_FILES = "root string, run_path string, rel_path string, file_name string, is_dir boolean, length bigint"
+RUN_FILES = "root string, run_path string, rel_path string, file_name string, is_dir boolean, length bigint, error string"
 LOG_LINES = "run_path string, file_name string, line_no bigint, line string"
 CONFIG_DOCS = "config_dir string, kind string, file_name string, raw string"
 CONFIG_FIELDS = "config_dir string, kind string, pos int, field string, value string"

@@ -108,7 +108,7 @@ class AttributeTables:
 
 
 def scan_nodal_attributes(spark: SparkSession, paths: list[str] | str, glob: str | None = None) -> AttributeTables:
-    """Attribute defaults and per-node exceptions of ``fort.13`` files.
+    """Attribute defaults and per-node exceptions of ``fort.13`` files, each with the array of its ``values``.
 
     The header names every attribute on four lines; after it a line with an attribute's name starts
     its exceptions. The starts of a file are as few as its attributes, so each data line finds its
@@ -122,13 +122,14 @@ def scan_nodal_attributes(spark: SparkSession, paths: list[str] | str, glob: str
     slot = F.floor((F.col("line_no") - 4) / 4)
     field = F.pmod(F.col("line_no") - 4, F.lit(4))
     text = F.trim("line")
+    numbers = F.transform("w", lambda word: word.try_cast("double"))
     defaults = (
         header.groupBy("mesh_id", slot.alias("slot"))
         .agg(
             F.max(F.when(field == 0, text)).alias("attribute"),
             F.max(F.when(field == 1, text)).alias("units"),
             F.max(F.when(field == 2, text)).try_cast("int").alias("n_values"),
-            F.max(F.when(field == 3, F.get("w", 0))).try_cast("double").alias("value"),
+            F.max(F.when(field == 3, numbers)).alias("values"),
         )
         .drop("slot")
     )
@@ -145,7 +146,7 @@ def scan_nodal_attributes(spark: SparkSession, paths: list[str] | str, glob: str
         .join(starts, "mesh_id")
         .withColumn("section", section)
         .where(F.col("line_no") > F.col("section.line_no") + 1)
-        .select("mesh_id", F.col("section.attribute").alias("attribute"), _int(0).alias("node_id"), _double(1).alias("value"))
+        .select("mesh_id", F.col("section.attribute").alias("attribute"), _int(0).alias("node_id"), F.slice(numbers, 2, F.size("w")).alias("values"))
     )
     return AttributeTables(defaults, exceptions)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import path_in_run, run_of_file
 from ..session import pin
 
-_LISTING = "root string, directory string, file_name string, is_dir boolean, length bigint"
+_LISTING = "root string, directory string, above array<string>, file_name string, is_dir boolean, length bigint, error string"
 _BATCH = 10_000
 
 
@@ -46,48 +46,51 @@ def _remote_entries(directory: str) -> Iterator[tuple[str, bool, int]]:
         yield info.base_name, is_dir, 0 if is_dir else info.size
 
 
-def _loops_back(directory: str, name: str) -> bool:
-    """Whether a linked directory leads to one above it."""
-    path = os.path.join(directory, name)
-    if not os.path.islink(path):
-        return False
-    target = os.path.realpath(path)
-    return os.path.realpath(directory).startswith(target)
+def _loops_back(path: str, above: list[str]) -> bool:
+    """Whether a directory is one of those on the way to it, or holds one of them: going in would come back here."""
+    target = os.path.join(os.path.realpath(path), "")
+    return any(os.path.join(held, "").startswith(target) for held in above)
 
 
 def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows = []
     for batch in batches:
-        for root, directory in zip(batch["root"], batch["directory"]):
+        for root, directory, above in zip(batch["root"], batch["directory"], batch["above"]):
             local = "://" not in directory
-            for name, is_dir, size in _local_entries(directory) if local else _remote_entries(directory):
-                if is_dir and local and _loops_back(directory, name):
-                    continue
-                rows.append((root, directory, name, is_dir, size))
-                if len(rows) >= _BATCH:
-                    yield _frame(rows)
-                    rows = []
+            # links can lead anywhere, so the way to a directory is kept as resolved paths
+            way = [*above, os.path.realpath(directory)] if local else []
+            try:
+                for name, is_dir, size in _local_entries(directory) if local else _remote_entries(directory):
+                    if is_dir and local and _loops_back(os.path.join(directory, name), way):
+                        continue
+                    rows.append((root, directory, way if is_dir else None, name, is_dir, size, None))
+                    if len(rows) >= _BATCH:
+                        yield _frame(rows)
+                        rows = []
+            except PermissionError as refused:
+                rows.append((root, directory, None, None, False, 0, str(refused)))
     yield _frame(rows)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["root", "directory", "file_name", "is_dir", "length"])
+    return pd.DataFrame(rows, columns=["root", "directory", "above", "file_name", "is_dir", "length", "error"])
 
 
 def scan_run_files(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Every file and directory below ``roots`` (POSIX paths or URIs Arrow can open), empty ones included.
 
-    Files in an ``outputs`` directory belong to the run directory above it.
+    Files in an ``outputs`` directory belong to the run directory above it. Linked directories are followed unless they
+    lead back to their own way down. A directory that may not be read is one row without a file name, with its ``error``.
     """
     roots = [re.sub("(?<=.)/+$", "", root) for root in roots]
-    level = spark.createDataFrame([(root, root) for root in roots], "root string, directory string")
+    level = spark.createDataFrame([(root, root, []) for root in roots], "root string, directory string, above array<string>")
     found = None
     while True:
         width = max(spark.sparkContext.defaultParallelism, 1)
         listed = pin(level.repartition(width, "directory").mapInPandas(_list_directories, _LISTING))
         found = listed if found is None else found.unionByName(listed)
         level = listed.where("is_dir").select(
-            "root", F.concat(F.regexp_replace("directory", "/$", ""), F.lit("/"), F.col("file_name")).alias("directory")
+            "root", F.concat(F.regexp_replace("directory", "/$", ""), F.lit("/"), F.col("file_name")).alias("directory"), "above"
         )
         if level.isEmpty():
             break
@@ -99,6 +102,7 @@ def scan_run_files(spark: SparkSession, roots: list[str]) -> DataFrame:
         "file_name",
         "is_dir",
         "length",
+        "error",
     )
 
 

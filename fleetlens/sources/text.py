@@ -10,8 +10,7 @@ from ..functions.paths import base_name, parent_path, path_in_run, plain_path, r
 from ..operators.config import kind_of_file
 from ..operators.ordered import last_wins
 
-_ROW_BITS = 31
-_BLOCK_UNIT = 4096
+_ROW_BITS = 33
 
 
 def _placed_lines(reader, paths: list[str] | str) -> DataFrame:
@@ -27,11 +26,12 @@ def _placed_lines(reader, paths: list[str] | str) -> DataFrame:
 def _order_key() -> Column:
     """A number that grows with the line's place in its file, made without moving any line.
 
-    The block's start (in 4 KiB units) comes first, then the row's place in its partition. Splits
-    are far larger than a unit and partitions hold fewer than 2^31 rows.
+    A line takes a byte at least, so a split that starts at byte s and ends before byte t has fewer than 2 (t - s) lines, and twice the
+    start plus the line's place in its partition (all 33 bits of it) grows from split to split. Only a file's last split shares
+    its partition with others before it: the reader fills a partition with a split of full size.
     """
     row = F.col("row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return F.shiftleft(F.floor(F.col("block") / _BLOCK_UNIT).cast("bigint"), _ROW_BITS).bitwiseOR(row)
+    return F.col("block") * 2 + row
 
 
 def scan_log_lines(spark: SparkSession, roots: list[str] | str, glob: str = LOG_GLOB) -> DataFrame:
@@ -58,23 +58,18 @@ def scan_tree_lines(spark: SparkSession, root: str) -> DataFrame:
 
 
 def number_lines(placed: DataFrame) -> DataFrame:
-    """``(path, line_no, line)``: line counts from 1 in files of any number of blocks.
+    """``(path, line_no, line)``: line counts from 1 in files of any number of blocks, without moving the lines.
 
-    Lines are counted inside their block, whose size the reader bounds; blocks get the number of
-    lines before them, from one row per block.
+    Rows of a block lie together in one partition, so their ids are consecutive. One small row per block holds its first id and the
+    number of lines in the blocks before it.
     """
-    inside = Window.partitionBy("path", "block").orderBy("row")
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         placed.groupBy("path", "block")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("path", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
-    return (
-        placed.withColumn("_i", F.row_number().over(inside))
-        .join(blocks, ["path", "block"])
-        .select("path", (F.col("_i") + F.col("_before")).alias("line_no"), "line")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("row").alias("_first"))
+        .select("path", "block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
     )
+    return placed.join(blocks, ["path", "block"]).select("path", (F.col("row") + F.col("_shift")).alias("line_no"), "line")
 
 
 def number_text_lines(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -99,15 +94,23 @@ def scan_config_docs(spark: SparkSession, roots: list[str] | str) -> DataFrame:
 
 
 def scan_job_queue(spark: SparkSession, path: str) -> DataFrame:
-    """``(job_name, workdir, job_id)`` of a queue snapshot with a header line; the last row per name stays."""
-    lines = _placed_lines(spark.read, path).withColumn("line_no", _order_key())
+    """``(job_name, workdir, job_id, line_no)`` of a queue snapshot with a header line: every row, names may repeat."""
+    return parse_job_queue(_placed_lines(spark.read, path).withColumn("line_no", _order_key()))
+
+
+def parse_job_queue(lines: DataFrame) -> DataFrame:
+    """Rows of queue snapshots given as ``(path, line_no, line)``; the first line of each is its header."""
     header = lines.groupBy("path").agg(F.min("line_no").alias("_header"))
     words = F.split(F.trim("line"), r"\s+")
-    rows = (
+    return (
         lines.join(header, "path")
         .where((F.col("line_no") > F.col("_header")) & (F.size(words) >= 2))
         .select(
             F.get(words, 0).alias("job_name"), F.get(words, 1).alias("workdir"), F.get(words, 2).alias("job_id"), "line_no"
         )
     )
-    return last_wins(rows, ["job_name"], "line_no").select("job_name", "workdir", "job_id")
+
+
+def latest_jobs(queue: DataFrame) -> DataFrame:
+    """One row per job name, the last of the snapshot."""
+    return last_wins(queue, ["job_name"], "line_no")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.logs import LOG_GLOB, classify_lines
+from ..functions.logs import LOG_GLOB, classify_lines, round_percent
 from ..functions.paths import base_name, parent_path, path_in_run, plain_path, run_of_file
 
 
@@ -24,21 +24,53 @@ def stream_log_lines(spark: SparkSession, root: str, glob: str = LOG_GLOB, max_f
 
 
 def stream_run_status(log_lines: DataFrame) -> DataFrame:
-    """Per run: highest percentage, whether an end mark and an error were seen, and the state they imply.
+    """Per run: ``model, progress, ended, has_error, status`` as far as its lines tell.
 
-    Lines carry no event time and arrive in any order, so only order-free aggregates are kept: one
-    small row of state per run, updated in place (use output mode ``update`` or ``complete``).
+    Lines carry no event time and arrive in any order, so only order-free aggregates are kept, updated in place; use output mode
+    ``update``, which gives the runs of a batch that changed, and merge by run (``latest_states``). The state of a run is
+    a few numbers and the names of its out-logs, those seen and those that ended: as many as it has jobs. A run is completed when every
+    out-log has its end mark, as in the batch report; progress is the largest percentage of the first out-log by name that has one, or the
+    share of steps. What only a listing tells (missing or small outputs) is left to the batch report.
     """
     lines = classify_lines(log_lines)
+    out_log = F.col("role").isin("adcirc_out", "schism_out")
+    percent = F.when(F.col("percent") != 0, F.struct("file_name", (-F.col("percent")).alias("left")))
+    state = lines.groupBy("run_path").agg(
+        F.collect_set(F.when(out_log, F.col("file_name"))).alias("_seen"),
+        F.collect_set(F.when(F.col("is_end"), F.col("file_name"))).alias("_ended"),
+        F.min(percent).alias("_percent"),
+        F.max("step").alias("_step"),
+        F.max("total_steps").alias("_total"),
+        F.bool_or("is_finished").alias("_finished"),
+        F.bool_or(F.startswith(F.col("role"), F.lit("schism"))).alias("_schism"),
+        F.bool_or(F.col("is_error") | F.col("role").isin("adcirc_err", "schism_err")).alias("has_error"),
+    )
+    share = round_percent(F.try_divide((F.lit(100) * F.col("_step")).cast("double"), F.col("_total").cast("double")))
+    stepped = F.when(F.coalesce("_finished", F.lit(False)), F.lit(100.0)).otherwise(share)
+    schism = F.coalesce("_schism", F.lit(False))
+    ended = (F.size("_seen") > 0) & (F.size(F.array_except("_seen", "_ended")) == 0)
+    has_error = F.coalesce("has_error", F.lit(False))
+    return state.select(
+        "run_path",
+        F.when(schism, F.lit("SCHISM")).otherwise(F.lit("ADCIRC")).alias("model"),
+        F.coalesce(F.when(schism, stepped).otherwise(-F.col("_percent.left")), F.lit(0.0)).alias("progress"),
+        ended.alias("ended"),
+        has_error.alias("has_error"),
+        F.when(F.size("_seen") == 0, "not_started").when(has_error, "error").when(ended, "completed").otherwise("running").alias("status"),
+    )
+
+
+def write_states(states: DataFrame, folder: str):
+    """A started-on-demand writer of ``stream_run_status``: each batch's changed runs go to a folder of their own below ``folder``."""
     return (
-        lines.groupBy("run_path")
-        .agg(
-            F.coalesce(F.max("percent"), F.lit(0.0)).alias("progress"),
-            F.bool_or("is_end").alias("ended"),
-            F.bool_or(F.col("is_error") | F.col("role").isin("adcirc_err", "schism_err")).alias("has_error"),
-        )
-        .withColumn(
-            "status",
-            F.when(F.coalesce("has_error", F.lit(False)), "error").when(F.col("ended"), "completed").otherwise("running"),
-        )
+        states.writeStream.outputMode("update")
+        .option("checkpointLocation", f"{folder}/log")
+        .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/states/batch={number}"))
     )
+
+
+def latest_states(spark: SparkSession, folder: str) -> DataFrame:
+    """The last state written of every run."""
+    rows = spark.read.parquet(f"{folder}/states")
+    kept = [c for c in rows.columns if c not in ("run_path", "batch")]
+    return rows.groupBy("run_path").agg(F.max_by(F.struct(*kept), F.col("batch")).alias("_s")).select("run_path", "_s.*")

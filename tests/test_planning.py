@@ -6,25 +6,37 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.functions.literals import literal_text
-from fleetlens.operators.config import dropped_overrides, ensemble_members, expand_ensemble, missing_required, overlay, parse_documents
+from fleetlens.operators.config import (
+    dropped_overrides,
+    ensemble_members,
+    expand_ensemble,
+    missing_required,
+    move_paths,
+    overlay,
+    parse_documents,
+    relative_to,
+)
 from fleetlens.operators.planning import job_edges, job_manifest, processor_ranges, step_plan
-from fleetlens.plans.ensemble_plan import plan_directory
+from fleetlens.plans.ensemble_plan import member_documents, plan_directory, plan_ensembles
 from fleetlens.sources.text import scan_config_docs
 
 DRIVER = {
-    "platform": "HERA",
+    "platform": "STAMPEDE2",
     "perturbations": {
-        "run_2": {"adcirc": {"ICS": 22, "processors": 600, "modeled_timestep": 4.0}, "tidalforcing": {"constituents": "all"}},
-        "run_1": None,
+        "deep": {
+            "adcirc": {"IHOT": 5, "processors": 300, "modeled_timestep": 5.0, "modeled_end_time": "2031-07-06 06:00:00"},
+            "wavewatch": {"constituents": "all"},
+        },
+        "plain": None,
     },
 }
 MODEL = {
-    "modeled_start_time": "2008-08-23 00:00:00", "modeled_end_time": "2008-09-06 12:00:00", "modeled_timestep": 2.0,
-    "tidal_spinup_duration": 1080000.0, "processors": 600, "attributes": {"IM": None},
+    "modeled_start_time": "2031-07-04 06:00:00", "modeled_end_time": "2031-07-09 18:00:00", "modeled_timestep": 3.0,
+    "tidal_spinup_duration": 432000.0, "processors": 203, "source_filename": "../site.sh", "attributes": {"IM": None},
 }
 DOCUMENTS = {
     "modeldriver": DRIVER,
-    "slurm": {"account": None, "job_duration": 21600.0},
+    "slurm": {"account": None, "job_duration": 16200.0},
     "nems": {"interval": 3600.0},
     "adcirc": MODEL,
     "atmesh": {"processors": 1},
@@ -42,7 +54,7 @@ def write(folder, documents):
 def ensemble(spark, tmp_path):
     write(tmp_path / "adcirc", DOCUMENTS)
     schism = {k: v for k, v in DOCUMENTS.items() if k in ("slurm",)}
-    schism |= {"modeldriver": {"platform": "HERA", "perturbations": None}, "schism": {**MODEL, "schism_use_old_io": True}}
+    schism |= {"modeldriver": {"platform": "ORION", "perturbations": None}, "schism": {**MODEL, "schism_use_old_io": True}}
     write(tmp_path / "schism", schism)
     return tmp_path
 
@@ -50,18 +62,20 @@ def ensemble(spark, tmp_path):
 def test_expansion(spark, ensemble):
     docs = parse_documents(scan_config_docs(spark, [str(ensemble / "adcirc")]))
     members = ensemble_members(docs)
-    assert {r.run_name: r.overrides is None for r in members.collect()} == {"run_1": True, "run_2": False}
-    assert [(r.run_name, r.kind) for r in dropped_overrides(docs, members).collect()] == [("run_2", "tidalforcing")]
+    assert {r.run_name: r.overrides is None for r in members.collect()} == {"plain": True, "deep": False}
+    assert [(r.run_name, r.kind) for r in dropped_overrides(docs, members).collect()] == [("deep", "wavewatch")]
 
     def model_of(run, **kw):
         row = expand_ensemble(docs, **kw).where((F.col("run_name") == run) & (F.col("kind") == "adcirc"))
         return row.select(F.transform_values("fields", lambda _, v: literal_text(v)).alias("f")).first().f
 
-    assert model_of("run_1")["modeled_timestep"] == "2" and "ICS" not in model_of("run_1")
-    assert (model_of("run_2")["ICS"], model_of("run_2")["modeled_timestep"]) == ("22", "4")
-    # processors equals the base, so what follows it is dropped
-    stopped = model_of("run_2", stop_at_equal=True)
-    assert (stopped["ICS"], stopped["modeled_timestep"]) == ("22", "2")
+    assert model_of("plain")["modeled_timestep"] == "3" and "IHOT" not in model_of("plain")
+    deep = model_of("deep")
+    assert (deep["IHOT"], deep["modeled_timestep"], deep["processors"]) == ("5", "5", "300")
+    # a base with the same processors: what follows that field is dropped
+    same = docs.withColumn("fields", F.when(F.col("kind") == "adcirc", F.map_zip_with("fields", F.create_map(F.lit("processors"), F.lit("300")), lambda k, a, b: F.coalesce(b, a))).otherwise(F.col("fields")))
+    row = expand_ensemble(same, stop_at_equal=True).where("run_name = 'deep' and kind = 'adcirc'").select(F.transform_values("fields", lambda _, v: literal_text(v)).alias("f")).first().f
+    assert (row["IHOT"], row["modeled_timestep"]) == ("5", "3")
     assert missing_required(docs, "NEMS_ADCIRC").isEmpty()
     assert [r.kind for r in missing_required(docs, "SCHISM").collect()] == ["schism"]
 
@@ -77,21 +91,64 @@ def test_coupled_plan(spark, ensemble):
     runs = plan_directory(spark, [str(ensemble / "adcirc")])
     jobs = {r.job_name: r for r in job_manifest(runs).collect()}
     assert len(jobs) == 6
-    hot = jobs["ADCIRC_HOTSTART_run_1"]
-    assert (hot.tasks, hot.nodes, hot.walltime, hot.account, hot.out_log) == (602, 16, "06:00:00", "coastal", "ADCIRC_HOTSTART_run_1.out.log")
+    # 203 or 300 for the model, 1 each for the two forcings; 68 to a node
+    hot, deep = jobs["ADCIRC_HOTSTART_plain"], jobs["ADCIRC_HOTSTART_deep"]
+    assert (hot.tasks, hot.nodes, hot.walltime, hot.account, hot.out_log) == (205, 4, "04:30:00", "coastal", "ADCIRC_HOTSTART_plain.out.log")
+    assert (deep.tasks, deep.nodes) == (302, 5)
     spinup = jobs["ADCIRC_COLDSTART_SPINUP"]
-    assert (spinup.tasks, spinup.nodes) == (600, 15)
-    window = runs.where("is_spinup").select(F.date_format("begin_ts", "yyyy-MM-dd HH:mm").alias("t")).first()
-    assert window.t == "2008-08-10 12:00"
+    assert (spinup.tasks, spinup.nodes) == (203, 3)
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm").alias(c)
+    windows = {r.run_name: tuple(r)[1:] for r in runs.select("run_name", text("begin_ts"), text("finish_ts"), "timestep_s").collect()}
+    assert windows == {
+        "spinup": ("2031-06-29 06:00", "2031-07-04 06:00", 3.0), "plain": ("2031-07-04 06:00", "2031-07-09 18:00", 3.0),
+        "deep": ("2031-07-04 06:00", "2031-07-06 06:00", 5.0),
+    }
     edges = {(r.src_job, r.dst_job) for r in job_edges(runs).collect()}
     assert edges == {
         ("ADCIRC_SETUP_SPINUP", "ADCIRC_COLDSTART_SPINUP"),
-        ("ADCIRC_SETUP_run_1", "ADCIRC_HOTSTART_run_1"), ("ADCIRC_COLDSTART_SPINUP", "ADCIRC_HOTSTART_run_1"),
-        ("ADCIRC_SETUP_run_2", "ADCIRC_HOTSTART_run_2"), ("ADCIRC_COLDSTART_SPINUP", "ADCIRC_HOTSTART_run_2"),
+        ("ADCIRC_SETUP_plain", "ADCIRC_HOTSTART_plain"), ("ADCIRC_COLDSTART_SPINUP", "ADCIRC_HOTSTART_plain"),
+        ("ADCIRC_SETUP_deep", "ADCIRC_HOTSTART_deep"), ("ADCIRC_COLDSTART_SPINUP", "ADCIRC_HOTSTART_deep"),
     }
     assert {s for e in edges for s in e} == set(jobs)
 
 
+def test_problems_and_unfit_configurations(spark, ensemble):
+    write(ensemble / "twice", {**DOCUMENTS, "modeldriver": {"platform": "MARS"}, "nwm": {"cache": True}})
+    write(ensemble / "none", {"slurm": {}})
+    docs = parse_documents(scan_config_docs(spark, [str(ensemble)]))
+    plan = plan_ensembles(docs)
+    found = {(r.config_dir.split("/")[-1], r.problem, r.detail, r.is_fatal) for r in plan.problems.collect()}
+    assert found == {
+        ("adcirc", "override without document", "wavewatch", False),
+        ("twice", "unknown platform", "MARS", True), ("twice", "forcing not supported", "nwm", False),
+        ("none", "no model document", None, True), ("none", "no platform", None, True),
+    }
+    assert {r.config_dir.split("/")[-1] for r in plan.runs.select("config_dir").distinct().collect()} == {"adcirc", "schism"}
+    assert {(r.run_path.split("/")[-1], r.variable) for r in plan.outputs.where("run_path like '%adcirc%'").collect()} == {
+        (run, v) for run in ("deep", "plain") for v in ("elevation", "velocity")}
+    done = plan.runs.where("run_name = 'deep'").select("run_path", F.explode(F.array(*map(F.lit, ["fort.13", "fort.14", "fort.15", "setup.job", "adcirc.job", "nems.configure", "atm_namelist.rc", "model_configure", "config.rc"]))).alias("rel_path"))
+    assert {r.run_name for r in plan_ensembles(docs, done).pending.where("model = 'ADCIRC'").collect()} == {"plain", "spinup"}
+
+
+def test_paths_of_whole_documents(spark, ensemble):
+    docs = parse_documents(scan_config_docs(spark, [str(ensemble / "adcirc")]))
+    tidal = spark.createDataFrame([(str(ensemble / "adcirc"), "tidal", {"resource": '"grids/h.nc"', "tidal_source": '"TPXO"'})], "config_dir string, kind string, fields map<string,string>")
+    docs = docs.select("config_dir", "kind", "fields").unionByName(tidal)
+    path = lambda frame, kind, name: literal_value(frame.where(F.col("kind") == kind), name)
+    moved = move_paths(docs)
+    assert path(moved, "adcirc", "source_filename") == str(ensemble / "site.sh")
+    assert path(moved, "tidal", "resource") == str(ensemble / "adcirc" / "grids/h.nc")
+    near = relative_to(moved, F.concat("config_dir", F.lit("/runs/a")))
+    assert path(near, "adcirc", "source_filename") == "../../../site.sh"
+    assert path(near, "tidal", "resource") == str(ensemble / "adcirc" / "grids/h.nc") and path(near, "tidal", "tidal_source") == "TPXO"
+    members = member_documents(docs.where("kind <> 'tidal'"), plan_directory(spark, [str(ensemble / "adcirc")]), relative=True)
+    assert {literal_value(members.where(f"kind = 'adcirc' and run_name = '{r}'"), "source_filename") for r in ("deep", "plain")} == {"../../../site.sh"}
+
+
+def literal_value(frame, name):
+    return frame.select(literal_text(F.col("fields")[name])).first()[0]
+
+
 def test_schism_plan(spark, ensemble):
     runs = plan_directory(spark, [str(ensemble / "schism")])
     jobs = {r.job_name for r in job_manifest(runs).collect()}
@@ -105,30 +162,42 @@ def test_schism_plan(spark, ensemble):
         ("SCHISM_HOTSTART_unperturbed", "SCHISM_COMBINE_HOTSTARTFILES_unperturbed"),
         ("SCHISM_HOTSTART_unperturbed", "SCHISM_COMBINE_OUTPUTFILES_unperturbed"),
     }
-    plan = step_plan(runs.where("not is_spinup").withColumn("ihfskip", F.lit(None).cast("bigint"))).first()
-    assert (plan.restart_steps, plan.output_stacks) == ([626400], 1)
-    assert runs.where("is_spinup").first().spinup_step == 540000
+    plan = step_plan(runs.where("not is_spinup")).first()
+    # five and a half days and five days of three-second steps
+    assert (plan.restart_steps, plan.output_stacks) == ([158400], 1)
+    assert runs.where("is_spinup").first().spinup_step == 144000
+
+
+def test_schism_attributes_of_a_member(spark, ensemble):
+    driver = {"platform": "HERA", "perturbations": {"own": {"schism": {"attributes": {"nhot_write": 600, "ihfskip": 1200, "dt": 100.0, "rnday": 2}}}, "off": {"schism": {"attributes": {"nhot": 0}}}}}
+    write(ensemble / "attributes", {"modeldriver": driver, "slurm": {}, "schism": MODEL})
+    runs = plan_directory(spark, [str(ensemble / "attributes")])
+    got = {r.run_name: (r.nhot, r.nhot_write, r.ihfskip, r.timestep_s, r.duration_s) for r in runs.collect()}
+    assert got == {"own": (1, 600, 1200, 100.0, 172800.0), "off": (0, 158400, None, 3.0, 475200.0), "spinup": (1, 144000, None, 3.0, 475200.0)}
+    plan = step_plan(runs.where("run_name = 'own'")).first()
+    assert (plan.restart_steps, plan.output_stacks) == ([600, 1200, 1800], 2)
+    assert "SCHISM_COMBINE_HOTSTARTFILES_off" not in {r.job_name for r in job_manifest(runs).collect()}
 
 
 def test_ranges(spark):
-    components = spark.createDataFrame([("c", 0, "ATM", 1), ("c", 1, "WAV", 1), ("c", 2, "OCN", 600)],
+    components = spark.createDataFrame([("c", 0, "ATM", 2), ("c", 1, "WAV", 3), ("c", 2, "OCN", 70), ("d", 0, "OCN", 4)],
                                        "config_dir string, pos int, component string, processors int")
-    rows = processor_ranges(components).orderBy("pos").collect()
-    assert [(r.lo, r.hi) for r in rows] == [(0, 0), (1, 1), (2, 601)]
+    rows = processor_ranges(components).orderBy("config_dir", "pos").collect()
+    assert [(r.lo, r.hi) for r in rows] == [(0, 1), (2, 4), (5, 74), (0, 3)]
 
 
 def test_times_do_not_depend_on_the_session_zone(spark, ensemble):
     """In this zone the start time does not exist and the first day has 23 hours."""
     from fleetlens.operators.config import to_document
 
-    model = {**MODEL, "modeled_start_time": "2008-03-09 02:30:00", "modeled_end_time": "2008-03-10 02:30:00"}
+    model = {**MODEL, "modeled_start_time": "2031-03-09 02:30:00", "modeled_end_time": "2031-03-10 02:30:00"}
     write(ensemble / "gap", {**DOCUMENTS, "adcirc": model})
     kept = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
-        run = plan_directory(spark, [str(ensemble / "gap")]).where("run_name = 'run_1'").select("duration_s", F.col("finish_ts").cast("string").alias("t")).first()
-        assert (run.duration_s, run.t) == (86400.0, "2008-03-10 02:30:00")
+        run = plan_directory(spark, [str(ensemble / "gap")]).where("run_name = 'plain'").select("duration_s", F.col("finish_ts").cast("string").alias("t")).first()
+        assert (run.duration_s, run.t) == (86400.0, "2031-03-10 02:30:00")
         docs = parse_documents(scan_config_docs(spark, [str(ensemble / "gap")])).where("kind = 'adcirc'")
-        assert json.loads(to_document(docs).first().raw)["modeled_start_time"] == "2008-03-09 02:30:00"
+        assert json.loads(to_document(docs).first().raw)["modeled_start_time"] == "2031-03-09 02:30:00"
     finally:
         spark.conf.set("spark.sql.session.timeZone", kept)

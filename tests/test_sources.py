@@ -1,6 +1,7 @@
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from fleetlens.operators.track import clip_track, storm_ids
 from fleetlens.sources.geo import scan_best_track, scan_mesh, scan_nodal_attributes
 from fleetlens.sources.run_files import scan_forcing_files, scan_run_files
 from fleetlens.sources.sinks import write_config_docs, write_job_manifest
-from fleetlens.sources.text import scan_config_docs, scan_job_queue, scan_log_lines, scan_tree_lines
+from fleetlens.sources.text import latest_jobs, scan_config_docs, scan_job_queue, scan_log_lines, scan_tree_lines
 
 MESH = """made up
 2 4
@@ -42,20 +43,20 @@ tau0
 unitless
 1
 0.03
-manning's n
+slope
 s/m
-1
-0.02
+3
+0.02 1.5 -2.0
 tau0
 2
 1 0.5
 3 0.25
-manning's n
+slope
 1
-4 0.125
+4 0.125 7.0 0.0
 """
-TRACK = """AL, 09, 2008090106,   , BEST,   0, 172N,  370W,  30, 1006, TD,   0,    ,    0,    0,    0,    0, 1011,  250,  90,     ,    ,    ,    ,    ,274,   7,   INVEST   ,   1
-AL, 09, 2008090112,   , BEST,   6, 173S,  384E,  35, 1005, TS,  34, NEQ,  120,   75,    0,   60, 1011,  250,  90,     ,    ,    ,    ,    ,278,   7,    NINE    ,   2
+TRACK = """EP, 14, 2031070300,   , BEST,   0, 113N, 1057W,  25, 1007, TD,   0,    ,    0,    0,    0,    0, 1012,  180,  60,     ,    ,    ,    ,    ,290,   9,   SEEDLING,   ,   1
+EP, 14, 2031070318,   , BEST,  18, 121S, 1093E,  55,  991, TS,  34, SWQ,   40,   65,   20,   35, 1012,  180,  45,     ,    ,    ,    ,    ,301,  11,   MADEUP    ,   2
 """
 
 
@@ -73,6 +74,34 @@ def test_listing_sees_empty_files_and_directories(spark, tmp_path):
     }
 
 
+def names(spark, root):
+    return {(r.run_path[len(str(root)):], r.rel_path) for r in scan_run_files(spark, [str(root)]).collect()}
+
+
+def test_links_to_siblings_are_followed_and_circles_are_not(spark, tmp_path):
+    for name in ("run_1", "run_10", "crossed_a", "crossed_b"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "run_1" / "x").write_text("x")
+    os.symlink(tmp_path / "run_1", tmp_path / "run_10" / "to_1")
+    os.symlink(tmp_path / "crossed_b", tmp_path / "crossed_a" / "b")
+    os.symlink(tmp_path / "crossed_a", tmp_path / "crossed_b" / "a")
+    assert {n for n in names(spark, tmp_path) if n[0]} == {("/run_1", "x"), ("/run_10", "to_1"), ("/run_10/to_1", "x"), ("/crossed_a", "b"), ("/crossed_b", "a")}
+
+
+def test_unreadable_directory_is_a_row(tmp_path, monkeypatch):
+    from fleetlens.sources import run_files
+
+    def entries(directory):
+        if directory == "/locked":
+            raise PermissionError("no")
+        yield "f", False, 1
+
+    monkeypatch.setattr(run_files, "_local_entries", entries)
+    batch = pd.DataFrame({"root": ["/", "/"], "directory": ["/locked", "/open"], "above": [[], []]})
+    rows = pd.concat(run_files._list_directories(iter([batch])))
+    assert rows[["directory", "file_name", "error"]].values.tolist() == [["/locked", None, "no"], ["/open", "f", None]]
+
+
 def test_forcing_streams(spark, tmp_path):
     for name in ("wind_1.nc", "wind_2.nc", "notes"):
         (tmp_path / name).write_text("x")
@@ -125,13 +154,14 @@ def test_nodal_attributes(spark, tmp_path):
     (tmp_path / "fort.13").write_text(ATTRIBUTES)
     (tmp_path / "fort.14").write_text(MESH)
     tables = scan_nodal_attributes(spark, str(tmp_path), "fort.13")
-    assert {(r.attribute, r.units, r.n_values, r.value) for r in tables.defaults.collect()} == {
-        ("tau0", "unitless", 1, 0.03), ("manning's n", "s/m", 1, 0.02)}
-    assert {(r.attribute, r.node_id, r.value) for r in tables.exceptions.collect()} == {
-        ("tau0", 1, 0.5), ("tau0", 3, 0.25), ("manning's n", 4, 0.125)}
+    assert {(r.attribute, r.units, r.n_values, *r["values"]) for r in tables.defaults.collect()} == {
+        ("tau0", "unitless", 1, 0.03), ("slope", "s/m", 3, 0.02, 1.5, -2.0)}
+    assert {(r.attribute, r.node_id, *r["values"]) for r in tables.exceptions.collect()} == {
+        ("tau0", 1, 0.5), ("tau0", 3, 0.25), ("slope", 4, 0.125, 7.0, 0.0)}
     renamed = lambda df: df.withColumn("mesh_id", F.lit("m"))
     dense = dense_attributes(renamed(scan_mesh(spark, str(tmp_path), "fort.14").nodes), renamed(tables.defaults), renamed(tables.exceptions))
-    assert [r.value for r in dense.where("attribute = 'tau0'").orderBy("node_id").collect()] == [0.5, 0.03, 0.25, 0.03]
+    assert [r["values"] for r in dense.where("attribute = 'tau0'").orderBy("node_id").collect()] == [[0.5], [0.03], [0.25], [0.03]]
+    assert dense.where("attribute = 'slope' and node_id = 4").first()["values"] == [0.125, 7.0, 0.0]
 
 
 def test_best_track(spark, tmp_path):
@@ -139,11 +169,11 @@ def test_best_track(spark, tmp_path):
     track = scan_best_track(spark, str(tmp_path))
     rows = track.orderBy("ts").collect()
     assert [(r.lat, r.lon, r.max_wind, r.name, r.quadrant, r.radius_sw) for r in rows] == [
-        (17.2, -37.0, 30, "INVEST", None, 0), (-17.3, 38.4, 35, "NINE", "NEQ", 0)]
-    assert [r.storm_code for r in storm_ids(track).collect()] == ["AL092008"]
+        (11.3, -105.7, 25, "SEEDLING", None, 0), (-12.1, 109.3, 55, "MADEUP", "SWQ", 20)]
+    assert [r.storm_code for r in storm_ids(track).collect()] == ["EP142031"]
     storm = rows[0].storm_id
     windows = spark.createDataFrame(
-        [("open", storm, None, None), ("late", storm, "2008-09-01 12:00:00", None), ("none", storm, "2009-01-01", None)],
+        [("open", storm, None, None), ("late", storm, "2031-07-03 18:00:00", None), ("none", storm, "2032-01-01", None)],
         "config_dir string, storm_id string, s string, e string",
     ).select("config_dir", "storm_id", F.col("s").cast("timestamp_ntz").alias("start_ts"), F.col("e").cast("timestamp_ntz").alias("end_ts"))
     counts = {r.config_dir: r["count"] for r in clip_track(track, windows).groupBy("config_dir").count().collect()}
@@ -153,7 +183,10 @@ def test_best_track(spark, tmp_path):
 def test_queue_snapshot(spark, tmp_path):
     path = tmp_path / "queue"
     path.write_text("NAME WORK_DIR JOBID\n a  /x 1\nb /y 2\na /z 3\n\n")
-    assert {tuple(r) for r in scan_job_queue(spark, str(path)).collect()} == {("a", "/z", "3"), ("b", "/y", "2")}
+    queue = scan_job_queue(spark, str(path))
+    plain = lambda rows: sorted(tuple(r)[:3] for r in rows.select("job_name", "workdir", "job_id").collect())
+    assert plain(queue) == [("a", "/x", "1"), ("a", "/z", "3"), ("b", "/y", "2")]
+    assert plain(latest_jobs(queue)) == [("a", "/z", "3"), ("b", "/y", "2")]
 
 
 def test_documents_round_trip(spark, tmp_path):
