@@ -92,7 +92,7 @@ def write_monolithic(records: DataFrame, folder: str, date: str) -> DataFrame:
     """Write planned records, one gzip stream for each task; ``path, records`` of the files written."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, n, out, deflate = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, None, zlib.compressobj(1, zlib.DEFLATED, 31)
+        path, n, out, deflate = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, None, zlib.compressobj(6, zlib.DEFLATED, 31)
         for batch in batches:
             for start in range(batch.num_rows):
                 if out is None:
