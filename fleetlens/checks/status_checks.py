@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.logs import run_number, status_text
@@ -29,7 +29,7 @@ from ..operators.status import (
     verbose_record,
 )
 from ..session import ensure_checkpoint_dir
-from ..sources.text import number_text_lines
+from ..sources.text import latest_jobs, number_lines, number_text_lines, parse_job_queue
 from ..streaming.live_status import latest_states, stream_run_status, write_states
 from .inputs import FLEET_CTE, SCHISM_CTE, fleet, fleet_lines, schism_fleet
 from .registry import check, table
@@ -264,13 +264,13 @@ def model_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @check(
-    """WITH runs AS (SELECT '/f/c' || c_custkey AS run_path FROM customer WHERE c_mktsegment = 'BUILDING'
+    """WITH runs AS (SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN '/f/c' ELSE '/f/d' END || c_custkey AS run_path FROM customer
               UNION ALL SELECT '/f/c' || o_custkey || '/o' || o_orderkey FROM orders)
 SELECT run_path FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs p WHERE r.run_path LIKE p.run_path || '/%')"""
 )
 def outermost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    above = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(
-        F.concat(F.lit("/f/c"), F.col("c_custkey")).alias("run_path")
+    above = table(spark, sf_dir, "customer").select(
+        F.concat(F.when(F.col("c_mktsegment") == "BUILDING", F.lit("/f/c")).otherwise(F.lit("/f/d")), F.col("c_custkey")).alias("run_path")
     )
     below = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("/f/c"), F.col("o_custkey"), F.lit("/o"), F.col("o_orderkey")).alias("run_path")
@@ -316,15 +316,40 @@ _CUSTOMER_RUNS = f"""runs AS (SELECT 'run_' || (c_custkey // 2) AS run_name,
 
 
 def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(
-        F.concat(F.lit("run_"), F.col("o_custkey")).alias("job_name"),
-        F.concat(F.lit("/r/"), F.col("o_orderkey") % 25, F.lit("/"), F.lpad(F.col("o_custkey").cast("string"), 12, "0")).alias("workdir"),
+    """All orders as the lines of a queue snapshot, most names several times; a third of the customers has none of them."""
+    name = F.concat(F.lit("run_"), F.col("o_custkey") * 2)
+    workdir = F.concat(F.lit("/r/"), F.col("o_orderkey") % 25, F.lit("/"), F.lpad(F.col("o_custkey").cast("string"), 12, "0"))
+    lines = table(spark, sf_dir, "orders").select(
+        F.lit("queue").alias("path"), (F.col("o_orderkey") + 2).alias("line_no"), F.concat(F.lit("  "), name, F.lit("   "), workdir, F.lit(" "), F.col("o_orderkey")).alias("line")
     )
+    header = spark.range(1).select(F.lit("queue").alias("path"), F.lit(-1).cast("bigint").alias("line_no"), F.lit("NAME WORK_DIR JOBID").alias("line"))
+    return parse_job_queue(lines.unionByName(header))
 
 
-_QUEUE = """queue AS (SELECT 'run_' || o_custkey AS job_name,
-       '/r/' || (o_orderkey % 25) || '/' || lpad(CAST(o_custkey AS VARCHAR), 12, '0') AS workdir
-       FROM orders WHERE o_orderstatus = 'O')"""
+_QUEUE = """queue AS (SELECT 'run_' || (o_custkey * 2) AS job_name, o_orderkey AS line_no, CAST(o_orderkey AS VARCHAR) AS job_id,
+       '/r/' || (o_orderkey % 25) || '/' || lpad(CAST(o_custkey AS VARCHAR), 12, '0') AS workdir FROM orders)"""
+
+
+@check(
+    f"""WITH {_QUEUE} SELECT job_name, arg_max(workdir, line_no) AS workdir, arg_max(job_id, line_no) AS job_id FROM queue GROUP BY 1"""
+)
+def queue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_jobs(_queue(spark, sf_dir)).select("job_name", "workdir", "job_id")
+
+
+@check(
+    f"""WITH files AS (SELECT '/d/' || o_custkey AS run_path, {_MARKERS}[(o_orderkey % 9) + 1] AS rel_path FROM orders),
+found AS (SELECT run_path, list(DISTINCT rel_path) AS names FROM files GROUP BY 1)
+SELECT run_path, 'SCHISM' AS model FROM found WHERE list_has_all(names, ['hgrid.gr3', 'vgrid.in', 'param.nml', 'outputs', 'bctides.in'])"""
+)
+def model_detect_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories may hold the marker files of both models."""
+    names = F.array(*[F.lit(name) for name in _MARKERS])
+    files = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("/d/"), F.col("o_custkey")).alias("run_path"),
+        F.element_at(names, (F.col("o_orderkey") % 9 + 1).cast("int")).alias("rel_path"),
+    )
+    return detect_model(files, "SCHISM")
 
 
 @check(
@@ -476,6 +501,15 @@ def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_text_lines(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+@check("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line_no FROM events")
+def placed_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the lines of a file per user, in blocks of a thousand; rows of a block have consecutive ids."""
+    place = F.row_number().over(Window.partitionBy("user_id", "block").orderBy("event_id")).cast("bigint")
+    events = table(spark, sf_dir, "events").withColumn("block", F.floor(F.col("event_id") / 1000)).withColumn("row", place + F.col("user_id") * 7)
+    placed = events.select(F.col("user_id").cast("string").alias("path"), "block", "row", F.col("event_id").cast("string").alias("line"))
+    return number_lines(placed).select(F.col("path").cast("bigint").alias("user_id"), F.col("line").cast("bigint").alias("event_id"), "line_no")
+
+
 @check(
     """WITH l AS (SELECT '/fleet/' || user_id || '_' || (event_id % 10) AS run_path, event_type, floor(value)::BIGINT AS n,
                   CASE event_id // 10 % 5 WHEN 0 THEN 'setup' WHEN 1 THEN 'run' WHEN 2 THEN 'err' WHEN 3 THEN 'mirror' ELSE 'pet' END AS part,
