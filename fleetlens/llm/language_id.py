@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Documents per language that a model is trained on: those with the smallest hash, whole texts each.
 SAMPLE_DOCS = 150
+#: Parts in which a language's smallest hashes are found before they are compared.
+PARTS = 64
 CONTEXT = 3
 #: What stands before a text.
 PAD = b"\n" * CONTEXT
@@ -147,8 +149,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     share and the model has a bounded size. It passes the driver as counts.
     """
     known = docs.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("lang", "text").alias("mark"))
-    order = Window.partitionBy("lang").orderBy("mark")
-    marks = known.select("lang", "mark").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_docs)
+    marks = known.select("lang", "mark").distinct().withColumn("part", F.spark_partition_id() % PARTS)
+    # first the smallest of every part, then of a language's at most PARTS * sample_docs: a hot language is no task of its own
+    for keys in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy("mark")
+        marks = marks.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_docs)
     sample = known.join(marks.select("lang", "mark"), ["lang", "mark"], "left_semi").dropDuplicates(["lang", "mark"])
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
