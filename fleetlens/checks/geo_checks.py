@@ -25,8 +25,9 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @check(
     """WITH a AS (SELECT p_brand AS mesh_id, attribute, base FROM (SELECT DISTINCT p_brand FROM part), (VALUES ('tau0', 0.5), ('manning', 0.25)) v(attribute, base)
            WHERE NOT (p_brand = 'Brand#7' AND attribute = 'tau0')),
-e AS (SELECT p_brand AS mesh_id, 'tau0' AS attribute, p_partkey AS node_id, max(l_quantity) AS value
-      FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_linenumber = 1 GROUP BY ALL)
+e AS (SELECT p_brand AS mesh_id, CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 'tau0' ELSE 'manning' END AS attribute,
+             p_partkey AS node_id, max(l_quantity) AS value
+      FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
 SELECT p.p_brand AS mesh_id, a.attribute, p.p_partkey AS node_id, CAST(coalesce(e.value, a.base) AS DOUBLE) AS value
 FROM part p JOIN a ON a.mesh_id = p.p_brand LEFT JOIN e ON e.mesh_id = a.mesh_id AND e.attribute = a.attribute AND e.node_id = p.p_partkey"""
 )
@@ -40,10 +41,11 @@ def dense_node_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(~((F.col("mesh_id") == "Brand#7") & (F.col("attribute") == "tau0")))
     )
     exceptions = (
-        table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_linenumber = 1")
-        .groupBy(F.col("l_partkey").alias("node_id")).agg(F.max("l_quantity").alias("value"))
+        table(spark, sf_dir, "lineitem")
+        .withColumn("attribute", F.when(F.expr("l_returnflag = 'R' and l_linenumber = 1"), F.lit("tau0")).otherwise(F.lit("manning")))
+        .groupBy(F.col("l_partkey").alias("node_id"), "attribute").agg(F.max("l_quantity").alias("value"))
         .join(nodes.select("mesh_id", "node_id"), "node_id")
-        .select("mesh_id", F.lit("tau0").alias("attribute"), "node_id", "value")
+        .select("mesh_id", "attribute", "node_id", "value")
     )
     return dense_attributes(nodes, defaults, exceptions)
 

@@ -110,7 +110,6 @@ def ellipsoidal_distance(
 
     @F.pandas_udf("double")
     def batch(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
-        values = pd.Series(distance(lon1, lat1, lon2, lat2, a, rf))
-        return values.astype("object").where(values.notna(), None)
+        return pd.Series(distance(lon1, lat1, lon2, lat2, a, rf))  # NaN leaves the batch as null
 
     return batch(lon1, lat1, lon2, lat2)

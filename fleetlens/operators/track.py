@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durations import seconds_between
 from ..functions.geodesic import WGS84_A, WGS84_RF, ellipsoidal_distance
 from ..functions.names import storm_code
-from .ordered import previous_values, running_sum
+from ..session import pin
+from .ordered import before_slice, cut_slices, on_slices
 
 
 def clip_track(track: DataFrame, windows: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
@@ -50,13 +51,41 @@ def storm_ids(track: DataFrame) -> DataFrame:
 def path_length(
     points: DataFrame, keys: list[str], order: list[str], a: float = WGS84_A, rf: float = WGS84_RF
 ) -> DataFrame:
-    """Add the distance from the point before (``step_m``) and the length so far (``length_m``)."""
-    by = [F.col(c) for c in order]
-    stepped = previous_values(points, keys, by, ["lon", "lat"])
-    stepped = stepped.withColumn(
-        "step_m",
-        F.coalesce(
-            ellipsoidal_distance(F.col("prev_lon"), F.col("prev_lat"), F.col("lon"), F.col("lat"), a, rf), F.lit(0.0)
-        ),
-    ).drop("prev_lon", "prev_lat")
-    return running_sum(stepped, keys, by, "step_m", "length_m")
+    """Add the distance from the point before (``step_m``) and the length so far (``length_m``).
+
+    Points are sliced once. Steps inside a slice are taken and kept with it; the step over its edge and the length up to there
+    come from one row per key and slice.
+    """
+
+    def metres(start: Column, end: Column) -> Column:
+        step = ellipsoidal_distance(start["lon"], start["lat"], end["lon"], end["lat"], a, rf)
+        return F.coalesce(step, F.lit(0.0))
+
+    point = F.struct("lon", "lat")
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_seq")
+    cut = cut_slices(points, keys, [F.col(c) for c in order]).withColumn("_back", F.lag(point).over(inside))
+    stepped = pin(cut.withColumn("step_m", metres(F.col("_back"), point)).drop("_back"))
+    before = before_slice(keys)
+    slices = (
+        stepped.groupBy(*keys, "_slice")
+        .agg(
+            F.min("_seq").alias("_head"),
+            F.min_by(point, "_seq").alias("_first"),
+            F.max_by(point, "_seq").alias("_last"),
+            F.sum("step_m").alias("_n"),
+        )
+        .withColumn("_prior", F.lag("_last").over(before))
+        .withColumn("_gap", metres(F.col("_prior"), F.col("_first")))
+        .withColumn(
+            "_earlier",
+            F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + F.sum("_gap").over(before),
+        )
+        .select(*keys, "_slice", "_head", "_gap", "_earlier")
+    )
+    upto = F.sum("step_m").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        on_slices(stepped, slices, keys)
+        .withColumn("length_m", F.col("_earlier") + upto)
+        .withColumn("step_m", F.when(F.col("_seq") == F.col("_head"), F.col("_gap")).otherwise(F.col("step_m")))
+        .drop("_slice", "_seq", "_head", "_gap", "_earlier")
+    )
