@@ -58,6 +58,44 @@ def rank_within(df: DataFrame, keys: list[str], order: list, name: str) -> DataF
     )
 
 
+def running_sum(df: DataFrame, keys: list[str], order: list, value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over the rows of a key up to and including this one."""
+    sliced = ordered_slices(df, keys, order)
+    summary = (
+        sliced.groupBy(*keys, "_slice")
+        .agg(F.sum(value).alias("_n"))
+        .withColumn("_earlier", F.sum("_n").over(before_slice(keys).rowsBetween(Window.unboundedPreceding, -1)))
+        .drop("_n")
+    )
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        on_slices(sliced, summary, keys)
+        .withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.coalesce(F.col("_earlier"), F.lit(0)))
+        .drop("_slice", "_seq", "_earlier")
+    )
+
+
+def previous_values(df: DataFrame, keys: list[str], order: list, columns: list[str], prefix: str = "prev_") -> DataFrame:
+    """The columns of the row before this one inside its key; null on the first row."""
+    sliced = ordered_slices(df, keys, order)
+    held = F.struct(*columns)
+    summary = (
+        sliced.groupBy(*keys, "_slice")
+        .agg(F.max_by(held, F.col("_seq")).alias("_tail"))
+        .withColumn("_carry", F.lag("_tail").over(before_slice(keys)))
+        .drop("_tail")
+    )
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_seq")
+    back = (
+        on_slices(sliced, summary, keys)
+        .withColumn("_row", F.row_number().over(inside))
+        .withColumn("_prev", F.when(F.col("_row") == 1, F.col("_carry")).otherwise(F.lag(held).over(inside)))
+    )
+    for column in columns:
+        back = back.withColumn(prefix + column, F.col(f"_prev.{column}"))
+    return back.drop("_slice", "_seq", "_carry", "_row", "_prev")
+
+
 def last_wins(df: DataFrame, key: list[str], order) -> DataFrame:
     """One row per key: the one latest by ``order``. Partially aggregated before the shuffle."""
     rest = [c for c in df.columns if c not in key]
