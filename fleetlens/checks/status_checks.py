@@ -449,30 +449,26 @@ def pruned_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_TREE_STATUS = """leaves AS (SELECT '/w/fleet/' || r_name || '/' || n_name || '/runs/c' || c_custkey AS path, r_name, n_name,
-       'c' || c_custkey AS name,
+_TREE = """WITH leaves AS (SELECT '/w/fleet/' || r_name || '/' || n_name || '/runs/c_' || c_custkey AS run_path, r_name, n_name,
+       'c_' || c_custkey AS name,
        CASE WHEN n_regionkey = 1 THEN 'completed - 100.0%' WHEN n_nationkey % 2 = 0 THEN 'running - 15.0%'
             WHEN c_custkey % 3 = 0 THEN 'error - 0%' ELSE 'running - 15.0%' END AS text
-       FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+       FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+nations AS (SELECT r_name, n_name, string_agg(name || '=' || text, ',' ORDER BY name) AS content,
+                CASE WHEN min(text) = max(text) THEN min(text) END AS text, arg_min(run_path, name) AS run_path FROM leaves GROUP BY ALL),
+regions AS (SELECT r_name, count(DISTINCT coalesce(text, content)) = 1 AS same, min(text) AS first_text, arg_min(run_path, n_name) AS first_run
+            FROM nations GROUP BY 1),
+region_value AS (SELECT r_name, same, CASE WHEN same THEN first_text END AS text, CASE WHEN same THEN first_run END AS run_path FROM regions),
+"""
+_TREE_PLACED = """,
+mixed AS (SELECT *, bool_or(text IS NULL) OVER (PARTITION BY parent) AS is_mixed,
+                 CAST(regexp_extract(text, '([0-9.]+)%', 1) AS DOUBLE) AS progress FROM entries)
+SELECT path, parent, name, level, text, CASE WHEN text IS NOT NULL THEN run_path END AS run_path,
+       row_number() OVER (PARTITION BY parent ORDER BY CASE WHEN NOT is_mixed THEN -progress END,
+           CASE WHEN NOT is_mixed THEN coalesce(TRY_CAST(regexp_extract(name, '_([0-9]+)$', 1) AS DOUBLE), -1) END, name) AS position FROM mixed"""
 
 
-@check(
-    f"""WITH {_TREE_STATUS},
-runs AS (SELECT r_name, n_name, string_agg(name || '=' || text, ',' ORDER BY name) AS content,
-                CASE WHEN min(text) = max(text) THEN min(text) END AS text FROM leaves GROUP BY ALL),
-nations AS (SELECT * FROM runs),
-regions AS (SELECT r_name, count(DISTINCT coalesce(text, content)) = 1 AS same, min(text) AS text, min(n_name) AS first_nation,
-                   string_agg(n_name || '=' || coalesce(text, content), ';' ORDER BY n_name) AS content
-            FROM nations GROUP BY 1),
-region_value AS (SELECT r_name, same, first_nation, CASE WHEN same THEN text END AS text FROM regions)
-SELECT '/w/fleet' AS path, CAST(NULL AS VARCHAR) AS parent, 'fleet' AS name, 0 AS level, CAST(NULL AS VARCHAR) AS text
-UNION ALL SELECT '/w/fleet/' || r_name, '/w/fleet', r_name, 1, text FROM region_value
-UNION ALL SELECT '/w/fleet/' || r_name || '/' || n_name, '/w/fleet/' || r_name, n_name, 2, n.text
-          FROM nations n JOIN region_value v USING (r_name) WHERE NOT v.same
-UNION ALL SELECT '/w/fleet/' || r_name || '/' || n_name || '/' || name, '/w/fleet/' || r_name || '/' || n_name, name, 3, l.text
-          FROM leaves l JOIN nations n USING (r_name, n_name) JOIN region_value v USING (r_name) WHERE NOT v.same AND n.text IS NULL"""
-)
-def tree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tree_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = (
         table(spark, sf_dir, "customer")
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -484,14 +480,44 @@ def tree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("running")
     )
     shown = F.when(status == "completed", "100.0").when(status == "error", "0").otherwise("15.0")
-    runs = customers.select(
-        F.concat_ws("/", F.lit("/w/fleet"), "r_name", "n_name", F.lit("runs"), F.concat(F.lit("c"), F.col("c_custkey"))).alias("run_path"),
+    return customers.select(
+        F.concat_ws("/", F.lit("/w/fleet"), "r_name", "n_name", F.lit("runs"), F.concat(F.lit("c_"), F.col("c_custkey"))).alias("run_path"),
         status.alias("status"),
         shown.cast("double").alias("progress"),
         F.lit(0).alias("severity"),
         status_text(status, shown).alias("status_text"),
     )
-    return rollup_tree(runs, "/w/fleet")
+
+
+@check(
+    _TREE
+    + """entries AS (
+SELECT '/w/fleet' AS path, CAST(NULL AS VARCHAR) AS parent, 'fleet' AS name, 0 AS level, CAST(NULL AS VARCHAR) AS text, CAST(NULL AS VARCHAR) AS run_path
+UNION ALL SELECT '/w/fleet/' || r_name, '/w/fleet', r_name, 1, text, run_path FROM region_value
+UNION ALL SELECT '/w/fleet/' || r_name || '/' || n_name, '/w/fleet/' || r_name, n_name, 2, n.text, n.run_path
+          FROM nations n JOIN region_value v USING (r_name) WHERE NOT v.same
+UNION ALL SELECT '/w/fleet/' || r_name || '/' || n_name || '/' || name, '/w/fleet/' || r_name || '/' || n_name, name, 3, l.text, l.run_path
+          FROM leaves l JOIN nations n USING (r_name, n_name) JOIN region_value v USING (r_name) WHERE NOT v.same AND n.text IS NULL)"""
+    + _TREE_PLACED
+)
+def tree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup_tree(_tree_runs(spark, sf_dir), "/w/fleet")
+
+
+@check(
+    _TREE
+    + """entries AS (
+SELECT '/w/fleet/' || r_name AS path, CAST(NULL AS VARCHAR) AS parent, r_name AS name, 0 AS level, text, run_path FROM region_value
+UNION ALL SELECT '/w/fleet/' || r_name || '/' || n_name, '/w/fleet/' || r_name, n_name, 1, n.text, n.run_path
+          FROM nations n JOIN region_value v USING (r_name) WHERE NOT v.same
+UNION ALL SELECT '/w/fleet/' || r_name || '/' || n_name || '/' || name, '/w/fleet/' || r_name || '/' || n_name, name, 2, l.text, l.run_path
+          FROM leaves l JOIN nations n USING (r_name, n_name) JOIN region_value v USING (r_name) WHERE NOT v.same AND n.text IS NULL)"""
+    + _TREE_PLACED
+)
+def tree_of_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One report over a directory per region."""
+    names = [r.r_name for r in table(spark, sf_dir, "region").select("r_name").collect()]
+    return rollup_tree(_tree_runs(spark, sf_dir), [f"/w/fleet/{name}" for name in names])
 
 
 @check(

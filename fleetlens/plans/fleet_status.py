@@ -5,22 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.report_tree import rollup_tree
-from ..operators.status import collect_issues, outermost_runs, run_status, sort_report, verbose_record
+from ..operators.status import collect_issues, group_issues, outermost_runs, run_status, sort_report, verbose_record
+from ..session import pin
 from ..sources.run_files import scan_run_files
 from ..sources.text import scan_log_lines
 
 
-def fleet_status(spark: SparkSession, roots: list[str], model: str | None = None, verbose: bool = False) -> DataFrame:
-    """Status of every run, in report order."""
-    status = run_status(scan_run_files(spark, roots), scan_log_lines(spark, roots), model, verbose)
+def _outermost_status(files: DataFrame, lines: DataFrame, model: str | None, verbose: bool) -> DataFrame:
+    status = run_status(files, lines, model, verbose)
     if model is not None:  # every directory was asked for the model
         status = status.where("status <> 'not_configured'")
-    return sort_report(status.join(outermost_runs(status.select("run_path")), "run_path", "left_semi"))
+    return status.join(outermost_runs(status.select("run_path")), "run_path", "left_semi")
+
 
+def fleet_status(spark: SparkSession, roots: list[str], model: str | None = None, verbose: bool = False) -> DataFrame:
+    """Status of every run, in report order."""
+    return sort_report(_outermost_status(scan_run_files(spark, roots), scan_log_lines(spark, roots), model, verbose))
 
-def fleet_report(spark: SparkSession, root: str, model: str | None = None) -> DataFrame:
-    """The status report of one directory as a tree."""
-    return rollup_tree(fleet_status(spark, [root], model), root)
+
+def fleet_report(spark: SparkSession, root: str | list[str], model: str | None = None) -> DataFrame:
+    """The status report of one directory, or of several, as a tree."""
+    roots = [root] if isinstance(root, str) else root
+    return rollup_tree(_outermost_status(scan_run_files(spark, roots), scan_log_lines(spark, roots), model, False), root)
+
+
+def fleet_problem_tree(spark: SparkSession, root: str | list[str], model: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The verbose report: the tree, folding only what agrees in every problem, and the problems ``(run_path, ...)`` of its entries."""
+    roots = [root] if isinstance(root, str) else root
+    files, lines = scan_run_files(spark, roots), scan_log_lines(spark, roots)
+    problems = pin(group_issues(collect_issues(files, lines, model, verbose=True)))
+    tree = rollup_tree(_outermost_status(files, lines, model, True), root, details=problems)
+    return tree, problems.join(tree.select("run_path"), "run_path", "left_semi")
 
 
 def fleet_problems(spark: SparkSession, roots: list[str]) -> DataFrame:

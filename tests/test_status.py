@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators.report_tree import rollup_tree
 from fleetlens.operators.status import collect_issues, detect_model, outermost_runs, run_status, unqueued_runs, verbose_record
 from fleetlens.plans.backlog import backlog
-from fleetlens.plans.fleet_status import fleet_problems, fleet_report, fleet_status
+from fleetlens.plans.fleet_status import fleet_problem_tree, fleet_problems, fleet_report, fleet_status
 from fleetlens.sources.run_files import scan_run_files
 from fleetlens.sources.sinks import write_status_report
 from fleetlens.sources.text import scan_log_lines
@@ -165,6 +165,49 @@ def test_tree_against_recursion(spark):
         assert got == flatten(nested_report(keep, "/t"), "/t")
 
 
+def test_tree_places_entries(spark):
+    rows = [
+        ("/t/all/run_10", "running - 1.0%", 1.0, 1), ("/t/all/run_9", "running - 1.0%", 1.0, 1), ("/t/all/other", "error - 50.0%", 50.0, 4),
+        ("/t/all/late", "failed - 1.0%", 1.0, 2), ("/t/some/z/a", "running - 1.0%", 1.0, 1), ("/t/some/z/b", "error - 0%", 0.0, 4),
+        ("/t/some/a", "error - 0%", 0.0, 4), ("/t/some/b", "running - 9.0%", 9.0, 1), ("/u/all/x", "running - 1.0%", 1.0, 1),
+    ]
+    df = spark.createDataFrame(rows, "run_path string, status_text string, progress double, severity int")
+
+    def listed(**more):
+        found = rollup_tree(df, **more).collect()
+        return [(r.path, r.position) for r in sorted(found, key=lambda r: (r.level, r.parent or "", r.position))]
+
+    assert listed(root=["/t/all", "/t/some/", "/none"]) == [
+        ("/t/all", 1), ("/t/some", 2), ("/t/all/other", 1), ("/t/all/run_9", 2), ("/t/all/run_10", 3), ("/t/all/late", 4),
+        # a directory among the entries: by name
+        ("/t/some/a", 1), ("/t/some/b", 2), ("/t/some/z", 3), ("/t/some/z/a", 1), ("/t/some/z/b", 2),
+    ]
+    # of two roots with one name the last counts
+    assert listed(root=["/t/all", "/u/all"]) == [("/u/all", 1)]
+    assert listed(root="/")[:3] == [("/", 1), ("/t", 1), ("/u", 2)]
+    assert listed(root="/nowhere") == []
+
+
+def test_tree_with_details_folds_equal_records_only(spark):
+    text = "error - 0%"
+    rows = [(f"/t/{d}/{r}", text, 0.0, 4) for d in "pq" for r in "xy"]
+    df = spark.createDataFrame(rows, "run_path string, status_text string, progress double, severity int")
+    found = [(f"/t/{d}/{r}", "error", "log", [f"line {d}", "end"]) for d in "pq" for r in "xy"]
+    details = spark.createDataFrame(found, "run_path string, category string, file_name string, messages array<string>")
+    assert [r.path for r in rollup_tree(df, "/t").collect()] == ["/t"]
+    assert {(r.path, r.text, r.run_path) for r in rollup_tree(df, "/t", details=details).collect()} == {
+        ("/t", None, None), ("/t/p", text, "/t/p/x"), ("/t/q", text, "/t/q/x"),
+    }
+
+
+def test_fleet_problem_tree(spark, fleet_dir):
+    tree, problems = fleet_problem_tree(spark, str(fleet_dir))
+    shown = {r.run_path for r in tree.where("text is not null").collect()}
+    broken = [p for p in shown if p.endswith("/broken")]
+    assert broken and {r.run_path for r in problems.collect()} <= shown
+    assert problems.where(F.col("run_path") == broken[0]).count() >= 1
+
+
 def test_fleet_report(spark, fleet_dir):
     rows = {r.path[len(str(fleet_dir)):]: r.text for r in fleet_report(spark, str(fleet_dir), "SCHISM").collect()}
     # `runs` is the only entry, so the top stands for what `runs` holds
