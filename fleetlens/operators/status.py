@@ -382,13 +382,13 @@ def collect_issues(
     lines = classify_lines(log_lines, anywhere)
     flagged = lines.where(F.col("role").isin("adcirc_err", "schism_err") | F.col("is_error")).join(runs, "run_path")
     flagged = flagged.where((F.col("role") == "esmf") | F.startswith(F.col("role"), mine))
-    in_out_log = F.col("role") == "adcirc_out"
-    if verbose:
-        errors = error_row(flagged)
-    else:
-        errors = error_row(flagged.where(~in_out_log)).unionByName(
-            error_row(last_error_per_file(flagged.where(in_out_log)))
+    if not verbose:
+        # of an out-log the last error line stays; every other line is a group of its own, so that one branch serves both
+        own = F.when(F.col("role") != "adcirc_out", F.col("line_no"))
+        flagged = flagged.groupBy("run_path", "file_name", own.alias("_own")).agg(
+            F.max("line_no").alias("line_no"), F.max_by("line", "line_no").alias("line")
         )
+    errors = error_row(flagged)
     return per_run.unionByName(per_file).unionByName(running).unionByName(errors)
 
 
