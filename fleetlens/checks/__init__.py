@@ -3,6 +3,6 @@
 
 def load_checks():
     """The registry with every module of checks imported."""
-    from . import config_checks, geo_checks, plan_checks, planning_checks, registry, status_checks  # noqa: F401
+    from . import config_checks, file_checks, geo_checks, plan_checks, planning_checks, registry, status_checks  # noqa: F401
 
     return registry

@@ -19,8 +19,11 @@ def _numbered(spark: SparkSession, paths: list[str] | str, glob: str | None) ->
     reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    words = F.split(F.trim("line"), r"\s+")
-    return number_lines(_placed_lines(reader, paths)).withColumnRenamed("path", "mesh_id").withColumn("w", words)
+    return number_lines(_placed_lines(reader, paths)).withColumnRenamed("path", "mesh_id")
+
+
+def _split(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("w", F.split(F.trim("line"), r"\s+"))
 
 
 def _int(i: int) -> Column:
@@ -41,12 +44,17 @@ class MeshTables:
 
 
 def scan_mesh(spark: SparkSession, paths: list[str] | str, glob: str | None = None) -> MeshTables:
-    """Nodes, elements and boundary nodes of ``fort.14`` or ``gr3`` files; a mesh is named by its path.
+    """Nodes, elements and boundary nodes of ``fort.14`` or ``gr3`` files; a mesh is named by its path."""
+    return parse_mesh(_numbered(spark, paths, glob))
+
+
+def parse_mesh(lines: DataFrame) -> MeshTables:
+    """The tables of meshes given as ``(mesh_id, line_no, line)``, lines counted from 1.
 
     The header gives the number of elements and nodes, so each line's place tells what it is. The
     boundary tail, whose blocks each start with a count, is streamed in line order.
     """
-    lines = _numbered(spark, paths, glob)
+    lines = _split(lines)
     header = lines.where("line_no = 2").select("mesh_id", _int(0).alias("n_elements"), _int(1).alias("n_nodes"))
     placed = lines.join(header, "mesh_id")
     last_node = F.col("n_nodes") + 2
@@ -108,13 +116,18 @@ class AttributeTables:
 
 
 def scan_nodal_attributes(spark: SparkSession, paths: list[str] | str, glob: str | None = None) -> AttributeTables:
-    """Attribute defaults and per-node exceptions of ``fort.13`` files, each with the array of its ``values``.
+    """Attribute defaults and per-node exceptions of ``fort.13`` files, each with the array of its ``values``."""
+    return parse_nodal_attributes(_numbered(spark, paths, glob))
+
+
+def parse_nodal_attributes(lines: DataFrame) -> AttributeTables:
+    """Defaults and exceptions of attribute files given as ``(mesh_id, line_no, line)``, lines counted from 1.
 
     The header names every attribute on four lines; after it a line with an attribute's name starts
     its exceptions. The starts of a file are as few as its attributes, so each data line finds its
     section in an array.
     """
-    lines = _numbered(spark, paths, glob)
+    lines = _split(lines)
     counts = lines.where("line_no = 3").select("mesh_id", _int(0).alias("n_attributes"))
     placed = lines.join(counts, "mesh_id")
     in_header = (F.col("line_no") > 3) & (F.col("line_no") <= 3 + 4 * F.col("n_attributes"))

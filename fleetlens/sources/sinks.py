@@ -21,6 +21,8 @@ def _write_files(overwrite: bool):
         for batch in batches:
             written = []
             for directory, name, raw in zip(batch["config_dir"], batch["file_name"], batch["raw"]):
+                if directory.startswith("file:"):
+                    directory = "/" + directory[5:].lstrip("/")
                 local = "://" not in directory
                 system, folder = (fs.LocalFileSystem(), directory) if local else fs.FileSystem.from_uri(directory)
                 target = os.path.join(folder, name)
