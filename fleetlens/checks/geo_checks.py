@@ -155,6 +155,42 @@ def ellipsoid_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("event_id", ellipsoidal_distance(F.lit(0.0), F.lit(0.0), F.col("lon"), F.col("lat")).alias("metres"))
 
 
+def _inverse_sql(steps: int = 12) -> str:
+    """The inverse problem on WGS84 by a fixed number of iterations; start and end are never nearly antipodal."""
+    parts = [
+        """WITH g AS (SELECT event_id, 6378137.0::DOUBLE AS a, 1 / 298.257223563::DOUBLE AS f, radians((event_id * 7) % 150)::DOUBLE AS turn,
+  radians((event_id * 5) % 121 - 60)::DOUBLE AS lat1, radians((event_id * 3) % 179 - 89)::DOUBLE AS lat2 FROM events),
+u AS (SELECT *, atan((1 - f) * tan(lat1)) AS u1, atan((1 - f) * tan(lat2)) AS u2 FROM g),
+i0 AS (SELECT *, turn AS l FROM u)"""
+    ]
+    for i in range(steps):
+        parts.append(
+            f"""s{i} AS (SELECT *, sqrt((cos(u2) * sin(l)) ** 2 + (cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(l)) ** 2) AS ss,
+  sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(l) AS cs FROM i{i}),
+a{i} AS (SELECT *, atan2(ss, cs) AS arc, CASE WHEN ss = 0 THEN 0 ELSE cos(u1) * cos(u2) * sin(l) / ss END AS sa FROM s{i}),
+m{i} AS (SELECT *, CASE WHEN sa ** 2 = 1 THEN 0 ELSE cs - 2 * sin(u1) * sin(u2) / (1 - sa ** 2) END AS mid,
+  f / 16 * (1 - sa ** 2) * (4 + f * (4 - 3 * (1 - sa ** 2))) AS c FROM a{i}),
+i{i + 1} AS (SELECT event_id, a, f, turn, u1, u2, ss AS ss_, cs AS cs_, arc AS arc_, sa AS sa_, mid AS mid_,
+  turn + (1 - c) * f * sa * (arc + c * ss * (mid + c * cs * (-1 + 2 * mid ** 2))) AS l FROM m{i})"""
+        )
+    parts.append(
+        f"""e AS (SELECT *, (1 - sa_ ** 2) * (1 / (1 - f) ** 2 - 1) AS k FROM i{steps}),
+b AS (SELECT *, 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k))) AS ba, k / 1024 * (256 + k * (-128 + k * (74 - 47 * k))) AS bb FROM e),
+d AS (SELECT *, bb * ss_ * (mid_ + bb / 4 * (cs_ * (-1 + 2 * mid_ ** 2) - bb / 6 * mid_ * (-3 + 4 * ss_ ** 2) * (-3 + 4 * mid_ ** 2))) AS ds FROM b)
+SELECT event_id, CAST(round(a * (1 - f) * ba * (arc_ - ds) / 10) AS BIGINT) AS tens FROM d"""
+    )
+    return ",\n".join(parts)
+
+
+@check(_inverse_sql())
+def ellipsoid_tens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances on the ellipsoid in tens of metres, which a series in plain SQL can check away from the antipode."""
+    e = F.col("event_id")
+    lon, lat1, lat2 = (v.cast("double") for v in ((e * 7) % 150, (e * 5) % 121 - 60, (e * 3) % 179 - 89))
+    metres = ellipsoidal_distance(F.lit(0.0), lat1, lon, lat2)
+    return table(spark, sf_dir, "events").select("event_id", F.round(metres / 10).cast("bigint").alias("tens"))
+
+
 _DOC_LINES = """docs AS (SELECT 'fort.' || doc_id AS rel_path, doc_id, lang, regexp_split_to_array(text, '\\r\\n|\\n|\\r') AS parts FROM documents),
 ref AS (SELECT rel_path, doc_id, CAST(unnest(range(1, len(parts) + 1)) AS BIGINT) AS line_no, unnest(parts) AS line, len(parts) AS n FROM docs WHERE lang <> 'de'),
 test AS (SELECT rel_path, line_no, CASE WHEN line_no % 4 = 2 AND doc_id % 3 = 0 THEN line || '~' ELSE line END AS line, doc_id, lang,
