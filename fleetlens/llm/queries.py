@@ -13,6 +13,7 @@ from . import bpe, language_id
 from .packing import Limits, pack
 from .passages import remove_repeats
 from .quality_rules import judge
+from .resampling import resample
 from .secret_scan import KINDS, find_secrets, spans
 from .simhash import near_duplicates
 from .token_counts import TokenRollup, counted, inserts, utf8_bytes, words
@@ -44,6 +45,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def sql_crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a string's UTF-8 bytes; ``crc_table(t)`` must be in scope."""
+    byte = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i::INTEGER + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"
+
+
+CRC_TABLE = """crc_table AS (
+        SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)),
+               lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+    )"""
+
+
 @query()
 def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), n_words=3, max_bits=2)
@@ -185,3 +198,42 @@ def op5_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, changes in (("load", load), ("bars", revised), ("copies", gone), ("bars", revised), ("copies", gone)):
         rollup.commit(name, changes)
     return rollup.totals()
+
+
+@query(
+    rf"""
+    WITH {CRC_TABLE}, texts AS (
+        SELECT 'd' AS side, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+        UNION ALL SELECT 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+    ), words AS (
+        SELECT side, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts
+    ), counted AS (
+        SELECT side, doc_id, word, count(*) AS n FROM words GROUP BY ALL
+    ), buckets AS (
+        SELECT word, {sql_crc32("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM counted), crc_table
+    ), totals AS (
+        SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t
+        FROM counted JOIN buckets USING (word) GROUP BY bucket
+    ), gains AS (
+        SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (SELECT sum(s) + 10000 FROM totals)::DOUBLE
+                                       / ((s + 1)::DOUBLE * (SELECT sum(t) + 10000 FROM totals)::DOUBLE)))::BIGINT AS gain FROM totals
+    ), sums AS (
+        SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total
+        FROM counted JOIN buckets USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id
+    ), weighed AS (
+        SELECT d.doc_id, coalesce(n_features, 0) AS n_features,
+               CASE WHEN n_features > 0 THEN (total - ((total % n_features) + n_features) % n_features) // n_features ELSE 0 END AS weight,
+               ('0x' || substr(sha256('2024:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+        FROM documents d LEFT JOIN sums USING (doc_id)
+    ), scored AS (
+        SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM weighed
+    ), ranked AS (
+        SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS fit FROM scored WHERE n_features >= 20
+    )
+    SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * fit // 100 THEN place END AS rank
+    FROM scored LEFT JOIN ranked USING (doc_id)
+    """
+)
+def op11_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text")
+    return resample(docs, target, percent=10, min_words=20, runs=1, buckets=10_000, seed=2024).drop("n_words")
