@@ -12,6 +12,7 @@ from ..session import ensure_checkpoint_dir
 from . import bpe, language_id
 from .packing import Limits, pack
 from .passages import remove_repeats
+from .periodic_runs import find_runs, longest, with_planted_tails
 from .quality_rules import judge
 from .resampling import resample
 from .secret_scan import KINDS, find_secrets, spans
@@ -237,3 +238,46 @@ def op5_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text")
     return resample(docs, target, percent=10, min_words=20, runs=1, buckets=10_000, seed=2024).drop("n_words")
+
+
+@query(
+    rf"""
+    WITH {CRC_TABLE}, words AS (
+        SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+               {sql_crc32("doc_id::VARCHAR")} AS h FROM documents, crc_table
+    ), chosen AS (
+        SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM words
+    ), docs AS (
+        SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(w, lambda x, i: CASE WHEN i - 1 < a THEN x
+                   ELSE w[a + (i - 1 - a) % (1 + (len(w) - a) // (3 + g % 8)) + 1] END) END AS w FROM chosen
+    ), places AS (
+        SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS i FROM docs
+    ), phrases AS (
+        SELECT doc_id, i, md5(array_to_string(w[i:i + 5], ' ')) AS phrase FROM places
+    ), matches AS (
+        SELECT x.doc_id, y.i - x.i AS q, x.i FROM phrases x JOIN phrases y ON x.doc_id = y.doc_id AND x.phrase = y.phrase AND y.i > x.i
+    ), islands AS (
+        SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM matches
+    ), stretches AS (
+        SELECT doc_id, min(i) - 1 AS s, max(i) - min(i) + 6 + q AS n, q FROM islands GROUP BY doc_id, q, island
+    ), runs AS (
+        SELECT doc_id, s, n, min(q) AS q FROM stretches WHERE n >= 12 AND n >= 2 * q GROUP BY doc_id, s, n
+    ), best AS (
+        SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, s, q) = 1
+    ), lines AS (
+        SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS line FROM runs GROUP BY doc_id
+    ), gone AS (
+        SELECT doc_id, list(DISTINCT place) AS gone FROM (SELECT doc_id, unnest(range(s + q, s + n)) AS place FROM runs) GROUP BY doc_id
+    )
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, n AS length, q AS period, 1000 * n // q AS exponent_milli,
+           sha256(coalesce(line, '')) AS runs_sha256,
+           sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i - 1)), ' ')) AS collapsed_sha256
+    FROM docs LEFT JOIN lines USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN gone USING (doc_id)
+    """
+)
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(with_planted_tails(table(spark, sf_dir, "documents", "doc_id", "text")), text=False)
+    top = found.withColumn("top", longest(F.col("runs")))
+    exponent = F.floor(F.lit(1000) * F.col("top.length") / F.col("top.period"))
+    count = F.size("runs").cast("bigint").alias("n_runs")
+    return top.select("doc_id", count, "top.*", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
