@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from . import bpe, language_id
+from .licenses import joined_labels, scan_licenses
 from .packing import Limits, pack
 from .passages import remove_repeats
 from .periodic_runs import find_runs, longest, with_planted_tails
@@ -281,3 +282,20 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     exponent = F.floor(F.lit(1000) * F.col("top.length") / F.col("top.period"))
     count = F.size("runs").cast("bigint").alias("n_runs")
     return top.select("doc_id", count, "top.*", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query()
+def op13_license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("spans", lambda s: s["exact"])
+    places = F.transform(base, lambda s: s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(places).alias("first_word"),
+        F.array_max(places).alias("last_word"),
+        joined_labels(base).alias("base_labels"),
+        joined_labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("score"),
+    )
