@@ -10,6 +10,8 @@ UTF-8 bytes between starts are merged by rank, with the ids of recent slices kep
 from __future__ import annotations
 
 import base64
+import hashlib
+import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -27,8 +29,10 @@ IN_LETTERS, IN_NUMBERS, IN_OTHERS, AT_QUOTE, AT_BLANK, AT_SPACE, CONTRACTED, AFT
 STATES = 10
 #: Characters composed in one row, and characters handled at a time.
 ROW = 128
-CHARS = 1 << 20
-REMEMBERED = 1 << 18
+CHARS = 1 << 18
+#: Bytes that the slices a worker remembers may take, and about what one takes besides its own bytes and ids.
+REMEMBERED_BYTES = 24 << 20
+ENTRY_BYTES, ID_BYTES = 200, 36
 
 
 def _table() -> np.ndarray:
@@ -126,10 +130,20 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
         yield group
 
 
-def slices(texts: list[str]) -> Iterator[tuple[bytes, list[int]]]:
-    """UTF-8 bytes of each text, and the byte offsets at which its tokens' slices begin, the end included."""
-    for group in _groups(texts):
-        yield from _slices(group, classes())
+#: Where one token ends and another begins, whatever stands around: before white space, after anything else.
+SURE_CUT = re.compile(f"(?<=[^{''.join(map(chr, WHITE))}])(?=[{''.join(map(chr, WHITE))}])")
+
+
+def parts(text: str) -> Iterator[str]:
+    """A long text in parts of about CHARS characters, cut only where tokens part. Text without white space is not cut."""
+    start = 0
+    while len(text) - start > CHARS:
+        cut = SURE_CUT.search(text, start + CHARS)
+        if cut is None:
+            break
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]
 
 
 def _slices(texts: list[str], table: np.ndarray) -> Iterator[tuple[bytes, list[int]]]:
@@ -210,6 +224,7 @@ class Vocabulary:
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.pairs = PairRanks(self.ranks)
         self.recent: dict[bytes, tuple[int, ...]] = {}
+        self.held = 0
 
     def learn(self, pieces: list[bytes]) -> None:
         """Work out the ids of slices and remember them."""
@@ -222,8 +237,19 @@ class Vocabulary:
                 self.recent[piece] = self.merged(piece)
             else:
                 short.append(piece)
-        for at in range(0, len(short), 1 << 14):
-            self._merge_side_by_side(short[at : at + (1 << 14)])
+        for at in range(0, len(short), 1 << 12):
+            self._merge_side_by_side(short[at : at + (1 << 12)])
+        self.held += sum(ENTRY_BYTES + len(piece) + ID_BYTES * len(self.recent[piece]) for piece in pieces)
+
+    def forget(self, pieces: list[bytes]) -> None:
+        """Drop long slices, which seldom come again, and all slices once they take too much."""
+        if self.held > REMEMBERED_BYTES:
+            self.recent.clear()
+            self.held = 0
+            return
+        for piece in pieces:
+            if len(piece) > SHORT:
+                self.held -= ENTRY_BYTES + len(piece) + ID_BYTES * len(self.recent.pop(piece))
 
     def _merge_side_by_side(self, pieces: list[bytes]) -> None:
         """One merge in every slice per round: that of its lowest pair, the leftmost if several are."""
@@ -324,16 +350,25 @@ class Vocabulary:
             at = end[at]
         return tuple(out)
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the texts together are of bounded length."""
+        found = self.recent
+        cut = [[data[a:b] for a, b in zip(at, at[1:])] for data, at in _slices(texts, classes())]
+        new = list(set().union(*cut).difference(found))
+        self.learn(new)
+        out = [np.fromiter(chain.from_iterable(map(found.__getitem__, pieces)), np.int32) for pieces in cut]
+        self.forget(new)
+        return out
+
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
         """UTF-8 bytes and ids of each text."""
-        found = self.recent
         for group in _groups(texts):
-            cut = [(data, [data[a:b] for a, b in zip(at, at[1:])]) for data, at in slices(group)]
-            self.learn(list(set().union(*(pieces for _, pieces in cut)).difference(found)))
-            for data, pieces in cut:
-                yield data, np.fromiter(chain.from_iterable(map(found.__getitem__, pieces)), np.int32)
-            if len(found) > REMEMBERED:
-                found.clear()
+            if len(group[-1]) <= CHARS:
+                ids = self._ids(group)
+            else:
+                ids = self._ids(group[:-1]) if group[:-1] else []
+                ids.append(np.concatenate([self._ids([part])[0] for part in parts(group[-1])]))
+            yield from zip((text.encode() for text in group), ids)
 
     def ends(self, ids: np.ndarray) -> np.ndarray:
         """Byte offset at which each token ends."""
@@ -354,7 +389,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 #: Characters of texts whose ids go into one batch.
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 1 << 20
 
 
 def _by_size(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -412,3 +447,32 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(work, f"{schema}, decoded binary")
+
+
+def ids_digest(ids: np.ndarray) -> str:
+    """SHA-256 of the ids in decimals, joined by commas."""
+    digest = hashlib.sha256()
+    for at in range(0, len(ids), 1 << 16):
+        digest.update(b"," * (at > 0) + ",".join(map(str, ids[at : at + (1 << 16)].tolist())).encode())
+    return digest.hexdigest()
+
+
+def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row of ``docs(doc_id, text, ...)``, in one pass.
+
+    Each text is encoded as in ``encode``, its ids are decoded as in ``decode``, and only the digests of both leave the task. Other
+    columns are not read. Nulls, empty texts and repeated rows as there.
+    """
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = vocabulary(ranks_path)
+        for batch in batches:
+            for at, texts in _by_size(batch.column(1)):
+                found = [ids for _, ids in own.encode(texts)]
+                decoded = [hashlib.sha256(own.decode(ids.tolist())).hexdigest() for ids in found]
+                columns = [pa.array(map(len, found), pa.int64()), pa.array(map(ids_digest, found)), pa.array(decoded)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns], names)
+
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
+    return rows.mapInArrow(work, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -114,14 +114,7 @@ def op3_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), ranks, offsets=False), ranks)
-    return decoded.select(
-        "row.doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
 @query(

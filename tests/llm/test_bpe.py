@@ -2,14 +2,15 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fleetlens.llm import queries
-from fleetlens.llm.bpe import Vocabulary, decode, encode, vocabulary
+from fleetlens.llm import bpe, queries
+from fleetlens.llm.bpe import Vocabulary, decode, encode, ids_digest, parts, round_trip, vocabulary
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -42,6 +43,26 @@ def test_long_texts_and_slices(library):
     assert ids(texts) == [library.encode_ordinary(t) for t in texts]
 
 
+def test_long_texts_are_cut_where_tokens_part(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CHARS", 40)
+    rnd = random.Random(9)
+    signs = ["a", "é", "1", " ", "  ", "\n", "\t ", "'s", "'ll", "'", "!", "\u3000", "\x1c", "\x85", "中"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(400))) for _ in range(300)] + ["x" * 900]
+    assert all("".join(parts(t)) == t for t in texts)
+    assert ids(texts) == [library.encode_ordinary(t) for t in texts]
+
+
+def test_memory_of_slices_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 20_000)
+    own, rnd = Vocabulary(PATH), random.Random(12)
+    word = lambda: "".join(rnd.choice("qzxjkvéaeiou") for _ in range(rnd.randrange(1, 30)))
+    for _ in range(30):
+        texts = [" ".join(word() for _ in range(20)) + " " + "ab" * 50 for _ in range(3)]
+        assert [found.tolist() for _, found in own.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+        assert own.held <= 20_000 and all(len(piece) <= bpe.SHORT for piece in own.recent)
+        assert own.held == sum(bpe.ENTRY_BYTES + len(p) + bpe.ID_BYTES * len(i) for p, i in own.recent.items())
+
+
 def test_round_trip_with_edge_rows(spark):
     rows = [(1, "it's  a tést\n", 3), (1, "it's  a tést\n", 3), (None, "x", None), (2, None, 1), (3, "", 1), (4, "ab " * 40_000, 0)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, ids int")
@@ -53,6 +74,11 @@ def test_round_trip_with_edge_rows(spark):
         half = len(r.ids) // 2
         assert half == 0 or Vocabulary.decode(vocabulary(PATH), r.ids[:half]) == bytes(r.decoded)[: r.ends[half - 1]]
     assert encode(docs.limit(0), PATH).count() == 0
+    digests = sorted(map(tuple, round_trip(docs, PATH).collect()), key=str)
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    wanted = [(r.row.doc_id, len(r.ids), sha(",".join(map(str, r.ids)).encode()), sha((r.row.text or "").encode())) for r in out]
+    assert digests == sorted(wanted, key=str)
+    assert ids_digest(np.arange(200_000)) == sha(",".join(map(str, range(200_000))).encode())
 
 
 def test_query(spark, library):
