@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.config import parse_documents
 from ..operators.ordered import rank_within
 from ..session import ensure_checkpoint_dir, pin
 from ..sources.geo import parse_mesh, parse_nodal_attributes
+from ..sources.run_files import scan_forcing_files, scan_run_files
+from ..sources.run_tree import plain_root
 from ..sources.sinks import write_config_docs, write_job_manifest, write_status_report
-from ..sources.text import scan_config_docs
+from ..sources.text import listed_log_lines, scan_config_docs
 from .registry import check, table
 
 # Each brand is a mesh with its parts as nodes and one element per node. Parts are in one of three boundaries.
@@ -164,11 +166,90 @@ def report_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("run bigint, status string, progress bigint").json(folder)
 
 
-@check("SELECT o_orderkey AS job, 'run_' || o_custkey AS name FROM orders")
+@check(
+    """SELECT CASE WHEN o_custkey % 5 = 0 THEN -o_orderkey WHEN o_custkey % 3 = 0 THEN o_orderkey + 1000000000 ELSE o_orderkey END AS job,
+              '/configs/' || o_custkey AS config_dir FROM orders"""
+)
 def manifest_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second manifest does not replace the first."""
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job"), F.concat(F.lit("run_"), "o_custkey").alias("name"))
+    """First every configuration but each third; then all, which adds these alone; then each fifth anew, which replaces them."""
+    config = F.concat(F.lit("/configs/"), "o_custkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job"), config.alias("config_dir"), "o_custkey")
     folder = _folder(spark)
-    write_job_manifest(rows, folder)
-    write_job_manifest(rows.withColumn("job", -F.col("job")), folder)
-    return spark.read.parquet(folder)
+    later = rows.withColumn("job", F.col("job") + 1_000_000_000)
+    write_job_manifest(rows.where("o_custkey % 3 <> 0"), folder)
+    write_job_manifest(later, folder)
+    write_job_manifest(rows.where("o_custkey % 5 = 0").withColumn("job", -F.col("job")), folder, overwrite=True)
+    return spark.read.schema("job bigint, config_dir string").parquet(folder)
+
+
+def _write_tree(batches):
+    """A file of each row's path and text; an empty text makes an empty file, a null one a directory."""
+    import os
+
+    import pyarrow as pa
+
+    for batch in batches:
+        for path, text in zip(*(c.to_pylist() for c in batch.columns)):
+            os.makedirs(path if text is None else os.path.dirname(path), exist_ok=True)
+            if text is not None:
+                with open(path, "w") as out:
+                    out.write(text)
+        yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+
+def _tree(spark: SparkSession, files: DataFrame) -> str:
+    """A folder with the files of ``files(rel_path, text)``."""
+    folder = plain_root(_folder(spark))
+    files.select(F.concat(F.lit(f"{folder}/"), "rel_path"), "text").mapInArrow(_write_tree, "n bigint").agg(F.sum("n")).collect()
+    return folder
+
+
+def _run_tree(spark: SparkSession, sf_dir: str) -> str:
+    """A run directory per supplier below its nation, with a log of one to four lines, an empty file and an empty directory."""
+    run = F.concat_ws("/", "s_nationkey", F.concat(F.lit("run_"), "s_suppkey"))
+    lines = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("s_suppkey") % 4), lambda i: F.concat(i, F.lit("% COMPLETE "), "s_name"))
+    contents = {
+        "ADCIRC_RUN_x.out.log": F.array_join(lines, "\n"),
+        "outputs/mirror.out": F.repeat(F.lit("x"), (F.col("s_suppkey") % 50).cast("int")),
+        "fort.14": F.lit(""),
+        "empty": F.lit(None).cast("string"),
+        "wind_1.nc": F.col("s_name"),
+    }
+    files = F.array(*(F.struct(F.lit(name).alias("name"), text.alias("text")) for name, text in contents.items()))
+    rows = table(spark, sf_dir, "supplier").select(run.alias("run"), F.explode(files).alias("f"))
+    return _tree(spark, rows.select(F.concat_ws("/", "run", "f.name").alias("rel_path"), F.col("f.text").alias("text")))
+
+
+@check(
+    """WITH runs AS (SELECT s_nationkey, s_suppkey, '/' || s_nationkey || '/run_' || s_suppkey AS run, s_name FROM supplier)
+       SELECT run AS run_path, v.rel_path, v.is_dir, v.length::BIGINT AS length FROM runs, (VALUES
+              ('outputs/mirror.out', false, s_suppkey % 50), ('fort.14', false, 0), ('empty', true, 0), ('outputs', true, 0), ('wind_1.nc', false, length(s_name)),
+              ('ADCIRC_RUN_x.out.log', false, (13 + length(s_name)) * (s_suppkey % 4 + 1) - 1))
+            v(rel_path, is_dir, length)
+       UNION ALL SELECT DISTINCT '', s_nationkey::VARCHAR, true, 0 FROM supplier
+       UNION ALL SELECT '/' || s_nationkey, 'run_' || s_suppkey, true, 0 FROM supplier"""
+)
+def tree_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry of a tree, empty files and directories too."""
+    folder = _run_tree(spark, sf_dir)
+    listed = scan_run_files(spark, [folder])
+    return listed.select(F.substr("run_path", F.lit(len(folder) + 1)).alias("run_path"), "rel_path", "is_dir", "length")
+
+
+@check(
+    """SELECT s_nationkey || '/run_' || s_suppkey AS run, i || '% COMPLETE ' || s_name AS line, (i + 1)::INTEGER AS place
+       FROM supplier, range(4) t(i) WHERE i <= s_suppkey % 4"""
+)
+def log_lines_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of listed logs, read in ranges of 16 bytes; the places of their first bytes put them in order."""
+    folder = _run_tree(spark, sf_dir)
+    lines = listed_log_lines(scan_run_files(spark, [folder]), "ADCIRC_*.out.log", span=16)
+    place = F.row_number().over(Window.partitionBy("run_path").orderBy("line_no"))
+    return lines.select(F.substr("run_path", F.lit(len(folder) + 2)).alias("run"), "line", place.alias("place"))
+
+
+@check("SELECT 1::INTEGER AS stream, s_nationkey || '/run_' || s_suppkey || '/wind_1.nc' AS path, length(s_name)::BIGINT AS length FROM supplier")
+def forcing_files_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _run_tree(spark, sf_dir)
+    found = scan_forcing_files(spark, folder, "*/*/*_1.nc", "*/*/*_2.nc")
+    return found.select("stream", F.substr("path", F.lit(len(folder) + 2)).alias("path"), "length")

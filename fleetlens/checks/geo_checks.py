@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geodesic import ellipsoidal_distance
 from ..operators.diff import diff_sizes, diff_trees
-from ..operators.mesh import dense_attributes, same_mesh, without_attributes
+from ..operators.mesh import dense_attributes, mesh_classes, same_mesh, without_attributes
 from ..operators.track import clip_track, path_length, storm_ids
 from ..sources.geo import parse_best_track
 from ..sources.text import number_text_lines
@@ -234,3 +234,21 @@ def diff_file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(d, name.alias("rel_path"), F.lit(False).alias("is_dir"), F.col("n_chars").alias("length"), "lang")
     longer = F.col("length") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)
     return diff_sizes(docs.where("lang <> 'de'").withColumn("length", longer), docs)
+
+
+@check(
+    """WITH meshes AS (SELECT p_brand || s.copy AS mesh_id, p_partkey AS node_id,
+           CASE WHEN p_brand IN ('Brand#3', 'Brand#4') AND s.copy = 'b' AND p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS size
+         FROM part, (VALUES ('a'), ('b'), ('c')) s(copy)),
+    texts AS (SELECT mesh_id, string_agg(node_id || ':' || size, ',' ORDER BY node_id, size) AS text FROM meshes GROUP BY mesh_id),
+    classes AS (SELECT mesh_id, min(mesh_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS members FROM texts)
+    SELECT * FROM classes"""
+)
+def classes_of_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every brand's nodes as three meshes; two brands have one mesh whose nodes differ."""
+    copies = F.explode(F.array(*map(F.lit, "abc"))).alias("copy")
+    rows = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("node_id"), F.col("p_size").alias("size"), copies)
+    moved = F.col("p_brand").isin("Brand#3", "Brand#4") & (F.col("copy") == "b") & (F.col("node_id") % 5 == 0)
+    size = F.when(moved, F.col("size") + 1).otherwise(F.col("size"))
+    meshes = rows.select(F.concat("p_brand", "copy").alias("mesh_id"), "node_id", size.alias("size"))
+    return mesh_classes(meshes, ["node_id", "size"])

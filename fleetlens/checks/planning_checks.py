@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import cycle_problems, submission_order
 from ..operators.planning import (
     all_runs,
     coupling_edges,
@@ -340,3 +341,37 @@ def unknown_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     configs = _couplings(spark, sf_dir)
     components = configs.select("config_dir", F.explode("names").alias("component"))
     return unknown_components(coupling_edges(configs), components)
+
+
+def _waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs of 20 configurations that wait for jobs of larger number; in each fifth configuration one waits for a later one too."""
+    key, scope = F.col("o_orderkey"), F.col("o_custkey") % 20
+    name = lambda n: F.concat(F.lit("job_"), n)
+    edges = table(spark, sf_dir, "orders").select(scope.alias("config"), name(key % 8).alias("src"), name(key % 8 + 1 + key % 3).alias("dst"))
+    back = edges.select("config").distinct().where("config % 5 = 0").select("config", F.lit("job_6").alias("src"), F.lit("job_2").alias("dst"))
+    return edges.unionByName(back)
+
+
+_WAITS = """RECURSIVE edges AS (SELECT DISTINCT o_custkey % 20 AS config, 'job_' || o_orderkey % 8 AS src, 'job_' || (o_orderkey % 8 + 1 + o_orderkey % 3) AS dst FROM orders
+                    UNION SELECT DISTINCT o_custkey % 20, 'job_6', 'job_2' FROM orders WHERE o_custkey % 5 = 0),
+  names AS (SELECT config, src AS name FROM edges UNION SELECT config, dst FROM edges),
+  ways AS (SELECT config, name, 0 AS level FROM names UNION SELECT w.config, dst, level + 1 FROM ways w JOIN edges e ON w.config = e.config AND w.name = src WHERE level < 20),
+  ways_back AS (SELECT config, name, 0 AS level FROM names UNION SELECT w.config, src, level + 1 FROM ways_back w JOIN edges e ON w.config = e.config AND w.name = dst WHERE level < 20),
+  levels AS (SELECT config, name, CASE WHEN max(level) < 20 THEN max(level) END AS level FROM ways GROUP BY ALL)"""
+
+
+@check(
+    f"""WITH {_WAITS} SELECT config, name, level::INTEGER AS level,
+       CASE WHEN level IS NOT NULL THEN row_number() OVER (PARTITION BY config ORDER BY level NULLS LAST, name) END AS place FROM levels"""
+)
+def submission_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level and place of every job; jobs that wait for a cycle have neither."""
+    return submission_order(_waits(spark, sf_dir), "config", "src", "dst")
+
+
+@check(
+    f"""WITH {_WAITS}, stuck AS (SELECT config, name FROM ways WHERE level = 20 INTERSECT SELECT config, name FROM ways_back WHERE level = 20)
+    SELECT e.* FROM edges e JOIN stuck a ON e.config = a.config AND src = a.name JOIN stuck b ON e.config = b.config AND dst = b.name"""
+)
+def submission_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cycle_problems(_waits(spark, sf_dir), "config", "src", "dst")

@@ -598,3 +598,47 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     write_states(stream_run_status(lines), folder).trigger(availableNow=True).start().awaitTermination()
     return latest_states(spark, folder)
+
+
+@check(
+    """WITH lines AS (SELECT user_id % 40 AS run, event_id % 3 AS log, event_id AS place, event_type AS kind, floor(value)::BIGINT AS n FROM events),
+    logs AS (SELECT run, log, max(place) FILTER (kind = 'error') AS err, arg_max(n, place) FILTER (kind = 'purchase' AND n <> 0) AS n,
+                    max(place) FILTER (kind = 'purchase' AND n <> 0) AS n_at, max(place) FILTER (kind = 'signup') AS end_at
+             FROM lines WHERE kind IN ('error', 'signup') OR kind = 'purchase' AND n IS NOT NULL OR place = 0 GROUP BY run, log),
+    counted AS (SELECT run, log, err IS NOT NULL AS failed, CASE WHEN err IS NULL OR n_at >= err THEN n END AS n,
+                       end_at IS NOT NULL AND (err IS NULL OR end_at >= err) AS ended FROM logs)
+    SELECT '/fleet/' || run AS run_path, 'ADCIRC' AS model, coalesce(arg_min(n, log) FILTER (n IS NOT NULL), 0)::DOUBLE AS progress,
+           bool_and(ended) AS ended, bool_or(failed) AS has_error,
+           CASE WHEN bool_or(failed) THEN 'error' WHEN bool_and(ended) THEN 'completed' ELSE 'running' END AS status
+    FROM counted GROUP BY run"""
+)
+def live_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of lines of three logs a run, with live state kept by log: only lines from the last error on count."""
+    import uuid
+
+    from ..streaming.live_runs import ROCKSDB, live_run_status
+
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    n, kind = F.floor("value").cast("bigint"), F.col("event_type")
+    lines = events.select(
+        F.concat(F.lit("/fleet/"), F.col("user_id") % 40).alias("run_path"),
+        F.concat(F.lit("ADCIRC_RUN_"), F.col("event_id") % 3, F.lit(".out.log")).alias("file_name"),
+        F.col("event_id").alias("line_no"),
+        F.when(kind == "error", F.lit("ERROR: lost"))
+        .when(kind == "purchase", F.concat(n, F.lit("% COMPLETE")))
+        .when(kind == "signup", F.lit("End Epilogue"))
+        .otherwise(F.lit("step"))
+        .alias("line"),
+    )
+    folder = f"{ensure_checkpoint_dir(spark)}/live-{uuid.uuid4().hex}"
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    had = {key: spark.conf.get(key, None) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        write_states(live_run_status(lines), folder).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for key, value in had.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    return latest_states(spark, folder)

@@ -8,7 +8,7 @@ from ..operators.report_tree import rollup_tree
 from ..operators.status import collect_issues, group_issues, outermost_runs, run_status, sort_report, verbose_record
 from ..session import pin
 from ..sources.run_files import scan_run_files
-from ..sources.text import scan_log_lines
+from ..sources.text import listed_log_lines
 
 
 def _outermost_status(files: DataFrame, lines: DataFrame, model: str | None, verbose: bool) -> DataFrame:
@@ -20,19 +20,22 @@ def _outermost_status(files: DataFrame, lines: DataFrame, model: str | None, ver
 
 def fleet_status(spark: SparkSession, roots: list[str], model: str | None = None, verbose: bool = False) -> DataFrame:
     """Status of every run, in report order."""
-    return sort_report(_outermost_status(scan_run_files(spark, roots), scan_log_lines(spark, roots), model, verbose))
+    files = scan_run_files(spark, roots)
+    return sort_report(_outermost_status(files, listed_log_lines(files), model, verbose))
 
 
 def fleet_report(spark: SparkSession, root: str | list[str], model: str | None = None) -> DataFrame:
     """The status report of one directory, or of several, as a tree."""
     roots = [root] if isinstance(root, str) else root
-    return rollup_tree(_outermost_status(scan_run_files(spark, roots), scan_log_lines(spark, roots), model, False), root)
+    files = scan_run_files(spark, roots)
+    return rollup_tree(_outermost_status(files, listed_log_lines(files), model, False), root)
 
 
 def fleet_problem_tree(spark: SparkSession, root: str | list[str], model: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The verbose report: the tree, folding only what agrees in every problem, and the problems ``(run_path, ...)`` of its entries."""
     roots = [root] if isinstance(root, str) else root
-    files, lines = scan_run_files(spark, roots), scan_log_lines(spark, roots)
+    files = scan_run_files(spark, roots)
+    lines = listed_log_lines(files)
     problems = pin(group_issues(collect_issues(files, lines, model, verbose=True)))
     tree = rollup_tree(_outermost_status(files, lines, model, True), root, details=problems)
     return tree, problems.join(tree.select("run_path"), "run_path", "left_semi")
@@ -40,5 +43,6 @@ def fleet_problem_tree(spark: SparkSession, root: str | list[str], model: str |
 
 def fleet_problems(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Verbose records of every run."""
-    files, lines = scan_run_files(spark, roots), scan_log_lines(spark, roots)
+    files = scan_run_files(spark, roots)
+    lines = listed_log_lines(files)
     return verbose_record(run_status(files, lines, verbose=True), collect_issues(files, lines, verbose=True))

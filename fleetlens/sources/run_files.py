@@ -1,79 +1,19 @@
-"""Listing of run trees as a table.
-
-Spark's file sources leave out empty files and directories, both of which carry run state, so
-the tree is listed level by level: the directories of a level are spread over tasks, each lists
-its own entries, and the next level starts from what they found.
-"""
+"""Listing of run trees as a table."""
 
 from __future__ import annotations
 
-import os
+import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import path_in_run, run_of_file
 from ..session import pin
+from .run_tree import RunTree
 
-_LISTING = "root string, directory string, above array<string>, file_name string, is_dir boolean, length bigint, error string"
-_BATCH = 10_000
-
-
-def _local_entries(directory: str) -> Iterator[tuple[str, bool, int]]:
-    try:
-        scan = os.scandir(directory)
-    except (FileNotFoundError, NotADirectoryError):
-        return
-    with scan:
-        for entry in scan:
-            try:
-                is_dir = entry.is_dir()
-                size = 0 if is_dir else entry.stat().st_size
-            except FileNotFoundError:  # a dangling link, or gone since
-                continue
-            yield entry.name, is_dir, size
-
-
-def _remote_entries(directory: str) -> Iterator[tuple[str, bool, int]]:
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(directory)
-    for info in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
-        is_dir = info.type == fs.FileType.Directory
-        yield info.base_name, is_dir, 0 if is_dir else info.size
-
-
-def _loops_back(path: str, above: list[str]) -> bool:
-    """Whether a directory is one of those on the way to it, or holds one of them: going in would come back here."""
-    target = os.path.join(os.path.realpath(path), "")
-    return any(os.path.join(held, "").startswith(target) for held in above)
-
-
-def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = []
-    for batch in batches:
-        for root, directory, above in zip(batch["root"], batch["directory"], batch["above"]):
-            local = "://" not in directory
-            # links can lead anywhere, so the way to a directory is kept as resolved paths
-            way = [*above, os.path.realpath(directory)] if local else []
-            try:
-                for name, is_dir, size in _local_entries(directory) if local else _remote_entries(directory):
-                    if is_dir and local and _loops_back(os.path.join(directory, name), way):
-                        continue
-                    rows.append((root, directory, way if is_dir else None, name, is_dir, size, None))
-                    if len(rows) >= _BATCH:
-                        yield _frame(rows)
-                        rows = []
-            except PermissionError as refused:
-                rows.append((root, directory, None, None, False, 0, str(refused)))
-    yield _frame(rows)
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["root", "directory", "above", "file_name", "is_dir", "length", "error"])
+#: Shards of directories for each task that can run at a time.
+SHARDS_PER_TASK = 8
 
 
 def scan_run_files(spark: SparkSession, roots: list[str]) -> DataFrame:
@@ -81,19 +21,11 @@ def scan_run_files(spark: SparkSession, roots: list[str]) -> DataFrame:
 
     Files in an ``outputs`` directory belong to the run directory above it. Linked directories are followed unless they
     lead back to their own way down. A directory that may not be read is one row without a file name, with its ``error``.
+    The tree is listed once and kept in the checkpoint folder: all that follows sees the same state of a tree that may be growing.
     """
-    roots = [re.sub("(?<=.)/+$", "", root) for root in roots]
-    level = spark.createDataFrame([(root, root, []) for root in roots], "root string, directory string, above array<string>")
-    found = None
-    while True:
-        width = max(spark.sparkContext.defaultParallelism, 1)
-        listed = pin(level.repartition(width, "directory").mapInPandas(_list_directories, _LISTING))
-        found = listed if found is None else found.unionByName(listed)
-        level = listed.where("is_dir").select(
-            "root", F.concat(F.regexp_replace("directory", "/$", ""), F.lit("/"), F.col("file_name")).alias("directory"), "above"
-        )
-        if level.isEmpty():
-            break
+    spark.dataSource.register(RunTree)
+    shards = SHARDS_PER_TASK * max(spark.sparkContext.defaultParallelism, 1)
+    found = pin(spark.read.format("run_tree").option("roots", json.dumps(roots)).option("shards", str(shards)).load())
     directory = F.regexp_replace("directory", "(?<=.)/$", "")
     return found.select(
         "root",

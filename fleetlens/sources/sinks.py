@@ -2,50 +2,22 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.config import to_document
 from ..schemas import KIND_FILE_STEMS
-
-
-def _write_files(overwrite: bool):
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        for batch in batches:
-            written = []
-            for directory, name, raw in zip(batch["config_dir"], batch["file_name"], batch["raw"]):
-                if directory.startswith("file:"):
-                    directory = "/" + directory[5:].lstrip("/")
-                local = "://" not in directory
-                system, folder = (fs.LocalFileSystem(), directory) if local else fs.FileSystem.from_uri(directory)
-                target = os.path.join(folder, name)
-                exists = system.get_file_info(target).type != fs.FileType.NotFound
-                if exists and not overwrite:
-                    written.append(False)
-                    continue
-                system.create_dir(folder, recursive=True)
-                # under a name of its own first: a lost or doubled task leaves no half-written document
-                draft = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
-                with system.open_output_stream(draft) as out:
-                    out.write(raw.encode())
-                system.move(draft, target)
-                written.append(True)
-            yield batch[["config_dir", "file_name"]].assign(written=written)
-
-    return write
+from ..session import ensure_checkpoint_dir
+from .document_sink import DocumentFiles, committed
 
 
 def write_config_docs(documents: DataFrame, overwrite: bool = False) -> int:
     """Write each document into its configuration directory and return how many were written.
 
-    Existing documents stay unless ``overwrite``. ``documents`` has ``config_dir, kind, fields``.
+    Existing documents stay unless ``overwrite``. ``documents`` has ``config_dir, kind, fields``. All documents are put in their places when the
+    last one is ready; a job that fails leaves none.
     """
     stem = F.col("kind")
     for written, kind in KIND_FILE_STEMS.items():
@@ -53,13 +25,38 @@ def write_config_docs(documents: DataFrame, overwrite: bool = False) -> int:
     named = to_document(documents).select(
         "config_dir", F.concat(F.lit("configure_"), stem, F.lit(".json")).alias("file_name"), "raw"
     )
-    done = named.mapInPandas(_write_files(overwrite), "config_dir string, file_name string, written boolean")
-    return done.agg(F.count_if("written")).first()[0]
+    spark = documents.sparkSession
+    spark.dataSource.register(DocumentFiles)
+    job = f"{ensure_checkpoint_dir(spark)}/documents-{uuid.uuid4().hex}"
+    named.write.format("document_files").mode("append").option("job", job).option("overwrite", str(overwrite).lower()).save()
+    return committed(job)
+
+
+def write_job_manifest(manifest: DataFrame, path: str, overwrite: bool = False, by: str = "config_dir") -> None:
+    """Keep the planned jobs as parquet, a partition for each configuration.
+
+    Configurations that the manifest at ``path`` does not have yet are added; those it has stay as they are unless ``overwrite``, which
+    replaces the jobs of the configurations given, and of no others. A configuration without a name is one of its own. The partitions of a
+    configuration are written as one: a job that fails leaves the manifest as it was.
+    """
+    rows = manifest.withColumn(by, F.col(by).cast("string"))
+    if not overwrite:
+        known = _known_partitions(manifest, path, by)
+        if known is not None:
+            # a configuration has few rows against its jobs, and may be known many times over
+            rows = rows.join(known, rows[by].eqNullSafe(known["_known"]), "left_anti")
+    writer = rows.repartition(F.col(by)).write.partitionBy(by)
+    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def write_job_manifest(manifest: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Keep the planned jobs as parquet; an existing manifest stays unless ``overwrite``."""
-    manifest.write.mode("overwrite" if overwrite else "ignore").parquet(path)
+def _known_partitions(manifest: DataFrame, path: str, by: str) -> DataFrame | None:
+    """``_known``: the configurations of the manifest at ``path``; None if there is none."""
+    spark = manifest.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    # of a partitioned table only names of partitions are read
+    return spark.read.schema(f"`{by}` string").parquet(path).select(F.col(by).alias("_known")).distinct()
 
 
 def write_status_report(report: DataFrame, path: str) -> None:

@@ -9,6 +9,8 @@ from ..functions.logs import LOG_GLOB
 from ..functions.paths import base_name, parent_path, path_in_run, plain_path, run_of_file
 from ..operators.config import kind_of_file
 from ..operators.ordered import last_wins
+from .ranges import SPAN, listed_path, read_lines, read_texts
+from .run_files import glob_pattern, scan_run_files
 
 _ROW_BITS = 33
 
@@ -35,21 +37,34 @@ def _order_key() -> Column:
 
 
 def scan_log_lines(spark: SparkSession, roots: list[str] | str, glob: str = LOG_GLOB) -> DataFrame:
-    """Log lines below ``roots`` with the run they belong to and their order in the file.
+    """Log lines below ``roots`` with the run they belong to and their order in the file (see ``listed_log_lines``)."""
+    return listed_log_lines(scan_run_files(spark, [roots] if isinstance(roots, str) else roots), glob)
 
-    ``file_name`` is the path inside the run directory. ``line_no`` grows with the line but is no
-    count; ``number_lines`` gives counts at the price of a shuffle.
+
+def listed_log_lines(run_files: DataFrame, glob: str = LOG_GLOB, span: int = SPAN) -> DataFrame:
+    """Log lines of the files of a listing, read by byte ranges.
+
+    ``file_name`` is the path inside the run directory. ``line_no`` grows with the line (it is the place of its first byte) but is no
+    count; ``number_lines`` gives counts at the price of a shuffle. A file listed under several roots is read once.
     """
-    lines = _placed_lines(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob), roots)
+    logs = _listed(run_files, glob)
+    lines = read_lines(logs, span)
     directory = parent_path("path")
     return lines.select(
         run_of_file(directory).alias("run_path"),
         path_in_run(directory, base_name("path")).alias("file_name"),
-        _order_key().alias("line_no"),
+        F.col("at").alias("line_no"),
         "line",
     )
 
 
+def _listed(run_files: DataFrame, glob: str) -> DataFrame:
+    """``path, length`` of the listed files whose name is like the glob, each once."""
+    patterns = [glob_pattern(one) for one in glob.strip("{}").split(",")]
+    named = F.col("file_name").rlike("|".join(patterns))
+    return run_files.where(~F.col("is_dir") & named).groupBy(listed_path().alias("path")).agg(F.max("length").alias("length"))
+
+
 def scan_tree_lines(spark: SparkSession, root: str) -> DataFrame:
     """``(rel_path, line_no, line)`` of every text file below ``root``, with line counts from 1."""
     lines = number_lines(_placed_lines(spark.read.option("recursiveFileLookup", True), root))
@@ -81,10 +96,12 @@ def number_text_lines(texts: DataFrame, key: list[str], text: str = "text") -> D
 
 def scan_config_docs(spark: SparkSession, roots: list[str] | str) -> DataFrame:
     """Configuration documents below ``roots``, one row each; ``parse_documents`` flags malformed ones."""
-    docs = (
-        spark.read.text(roots, wholetext=True, recursiveFileLookup=True, pathGlobFilter="configure_*.json")
-        .select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("raw"))
-    )
+    return listed_config_docs(scan_run_files(spark, [roots] if isinstance(roots, str) else roots))
+
+
+def listed_config_docs(run_files: DataFrame) -> DataFrame:
+    """Configuration documents among the files of a listing."""
+    docs = read_texts(_listed(run_files, "configure_*.json"))
     return docs.select(
         parent_path("path").alias("config_dir"),
         kind_of_file(base_name("path")).alias("kind"),

@@ -60,17 +60,60 @@ def stream_run_status(log_lines: DataFrame) -> DataFrame:
     )
 
 
-def write_states(states: DataFrame, folder: str):
-    """A started-on-demand writer of ``stream_run_status``: each batch's changed runs go to a folder of their own below ``folder``."""
-    return (
-        states.writeStream.outputMode("update")
-        .option("checkpointLocation", f"{folder}/log")
-        .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/states/batch={number}"))
-    )
+#: Batches of states after which they are folded into one table.
+COMPACT_EVERY = 16
+
+
+def write_states(states: DataFrame, folder: str, compact_every: int = COMPACT_EVERY):
+    """A started-on-demand writer of run states: each batch's changed runs go to a folder of their own below ``folder``.
+
+    Every ``compact_every`` batches the last state of each run is written as one table and the batches in it are dropped, so what is
+    kept and read grows with the number of runs, not with the time. A batch that is repeated writes the same again.
+    """
+    if compact_every < 1:
+        raise ValueError("compact_every must be 1 at least")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/states/batch={number}")
+        if (number + 1) % compact_every == 0:
+            _compact(batch.sparkSession, folder, number)
+
+    return states.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/log").foreachBatch(keep)
+
+
+def _kept(spark: SparkSession, folder: str) -> tuple[int, list[int]]:
+    """Number of the newest complete table (-1 without any) and of the batches after it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/states")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return -1, []
+    done = [s.getPath() for s in system.listStatus(path) if system.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    named = [p.getName().split("=") for p in done]
+    upto = max((int(n) for kind, n in named if kind == "upto"), default=-1)
+    return upto, sorted(int(n) for kind, n in named if kind == "batch" and int(n) > upto)
+
+
+def _compact(spark: SparkSession, folder: str, number: int) -> None:
+    upto, batches = _kept(spark, folder)
+    if number <= upto:
+        return
+    latest_states(spark, folder).write.mode("overwrite").parquet(f"{folder}/states/upto={number}")
+    system = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in [f"batch={n}" for n in batches if n <= number] + ([f"upto={upto}"] if upto >= 0 else []):
+        system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/states/{name}"), True)
 
 
 def latest_states(spark: SparkSession, folder: str) -> DataFrame:
-    """The last state written of every run."""
-    rows = spark.read.parquet(f"{folder}/states")
+    """The last state written of every run; runs that have expired are left out."""
+    upto, batches = _kept(spark, folder)
+    parts = [spark.read.parquet(f"{folder}/states/batch={n}").withColumn("batch", F.lit(n)) for n in batches]
+    if upto >= 0:
+        parts.append(spark.read.parquet(f"{folder}/states/upto={upto}").withColumn("batch", F.lit(upto)))
+    if not parts:
+        raise FileNotFoundError(f"no states in {folder}")
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
     kept = [c for c in rows.columns if c not in ("run_path", "batch")]
-    return rows.groupBy("run_path").agg(F.max_by(F.struct(*kept), F.col("batch")).alias("_s")).select("run_path", "_s.*")
+    last = rows.groupBy("run_path").agg(F.max_by(F.struct(*kept), F.col("batch")).alias("_s")).select("run_path", "_s.*")
+    return last.where(~F.coalesce("expired", F.lit(False))).drop("expired") if "expired" in kept else last

@@ -1,7 +1,8 @@
+import io
 import json
 import os
+import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,10 +11,12 @@ from fleetlens.operators.diff import diff_sizes, diff_trees
 from fleetlens.operators.mesh import dense_attributes, same_mesh
 from fleetlens.operators.planning import job_manifest
 from fleetlens.operators.track import clip_track, storm_ids
+from fleetlens.sources import run_tree
 from fleetlens.sources.geo import scan_best_track, scan_mesh, scan_nodal_attributes
+from fleetlens.sources.ranges import cut_ranges, lines_between, listed_path, read_lines, read_texts
 from fleetlens.sources.run_files import scan_forcing_files, scan_run_files
 from fleetlens.sources.sinks import write_config_docs, write_job_manifest
-from fleetlens.sources.text import latest_jobs, scan_config_docs, scan_job_queue, scan_log_lines, scan_tree_lines
+from fleetlens.sources.text import latest_jobs, listed_log_lines, scan_config_docs, scan_job_queue, scan_log_lines, scan_tree_lines
 
 MESH = """made up
 2 4
@@ -88,18 +91,31 @@ def test_links_to_siblings_are_followed_and_circles_are_not(spark, tmp_path):
     assert {n for n in names(spark, tmp_path) if n[0]} == {("/run_1", "x"), ("/run_10", "to_1"), ("/run_10/to_1", "x"), ("/crossed_a", "b"), ("/crossed_b", "a")}
 
 
-def test_unreadable_directory_is_a_row(tmp_path, monkeypatch):
-    from fleetlens.sources import run_files
-
+def test_unreadable_directory_is_a_row(monkeypatch):
     def entries(directory):
         if directory == "/locked":
             raise PermissionError("no")
         yield "f", False, 1
 
-    monkeypatch.setattr(run_files, "_local_entries", entries)
-    batch = pd.DataFrame({"root": ["/", "/"], "directory": ["/locked", "/open"], "above": [[], []]})
-    rows = pd.concat(run_files._list_directories(iter([batch])))
-    assert rows[["directory", "file_name", "error"]].values.tolist() == [["/locked", None, "no"], ["/open", "f", None]]
+    monkeypatch.setattr(run_tree, "local_entries", entries)
+    shards = run_tree.plan_shards(["/locked", "/open"], 2)
+    rows = [row[1:] for shard in shards for row in run_tree.walk(shard)]
+    assert sorted(rows, key=str) == [("/locked", None, False, 0, "no"), ("/open", "f", False, 1, None)]
+
+
+def test_shards_cover_a_tree_once(tmp_path, monkeypatch):
+    monkeypatch.setattr(run_tree, "WIDE", 7)
+    for i in range(40):
+        (tmp_path / "wide" / f"d{i}" / "x").mkdir(parents=True)
+        (tmp_path / "wide" / f"f{i}").write_text("1")
+    (tmp_path / "a" / "b" / "c" / "d").mkdir(parents=True)
+    wanted = sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*"))
+    for count in (1, 2, 5, 30, 500):
+        shards = run_tree.plan_shards([str(tmp_path)], count)
+        found = [os.path.relpath(f"{directory}/{name}", tmp_path) for shard in shards for _, directory, name, *_ in run_tree.walk(shard)]
+        assert sorted(found) == wanted and len(shards) <= count
+    # a directory with many directories is opened by several tasks, and its names are not held
+    assert [len(s.wide) for s in run_tree.plan_shards([str(tmp_path)], 30)] == [1] * 6
 
 
 def test_forcing_streams(spark, tmp_path):
@@ -123,11 +139,12 @@ def test_line_order_over_many_splits(spark, tmp_path, small_splits):
     for run, count in (("a", 9000), ("b", 50), ("c", 3000)):
         (tmp_path / run).mkdir()
         (tmp_path / run / "ADCIRC_X_y.out.log").write_text("".join(f"line {i}\n" for i in range(count)))
-    lines = scan_log_lines(spark, [str(tmp_path)])
-    assert lines.rdd.getNumPartitions() > 8
-    for run, count in (("a", 9000), ("b", 50), ("c", 3000)):
-        got = [r.line for r in lines.where(F.col("run_path").endswith("/" + run)).orderBy("line_no").collect()]
-        assert got == [f"line {i}" for i in range(count)]
+    listed = scan_run_files(spark, [str(tmp_path)])
+    assert cut_ranges(listed.select(listed_path().alias("path"), "length"), 8192).count() > 8
+    for lines in (listed_log_lines(listed, span=8192), scan_log_lines(spark, [str(tmp_path)])):
+        for run, count in (("a", 9000), ("b", 50), ("c", 3000)):
+            got = [r.line for r in lines.where(F.col("run_path").endswith("/" + run)).orderBy("line_no").collect()]
+            assert got == [f"line {i}" for i in range(count)]
     numbered = scan_tree_lines(spark, str(tmp_path))
     wrong = numbered.where(F.concat(F.lit("line "), F.col("line_no") - 1) != F.col("line"))
     assert numbered.count() == 12050 and wrong.isEmpty()
@@ -216,12 +233,54 @@ def test_documents_round_trip(spark, tmp_path):
 
 
 def test_manifest_sink(spark, tmp_path):
-    path = str(tmp_path / "jobs")
-    write_job_manifest(spark.range(3), path)
-    write_job_manifest(spark.range(5), path)
-    assert spark.read.parquet(path).count() == 3
-    write_job_manifest(spark.range(5), path, overwrite=True)
-    assert spark.read.parquet(path).count() == 5
+    path, schema = str(tmp_path / "jobs"), "config_dir string, job int"
+    kept = lambda: sorted((r.config_dir or "", r.job) for r in spark.read.schema("job int, config_dir string").parquet(path).collect())
+    write_job_manifest(spark.createDataFrame([("/a=1", 1), ("/a=1", 2), (None, 3)], schema), path)
+    write_job_manifest(spark.createDataFrame([("/a=1", 9), ("/b", 4), (None, 9), ("2020", 5)], schema), path)
+    assert kept() == [("", 3), ("/a=1", 1), ("/a=1", 2), ("/b", 4), ("2020", 5)]
+    write_job_manifest(spark.createDataFrame([("/b", 6), ("/c", 7)], schema), path, overwrite=True)
+    assert kept() == [("", 3), ("/a=1", 1), ("/a=1", 2), ("/b", 6), ("/c", 7), ("2020", 5)]
+    write_job_manifest(spark.createDataFrame([], schema), path)
+    assert len(kept()) == 6
+
+
+def plain_lines(data):
+    place, out = 0, []
+    for line in data.splitlines(True):
+        out.append((place, line.rstrip(b"\r\n")))
+        place += len(line)
+    return out
+
+
+def test_ranges_give_each_line_once():
+    rnd = random.Random(3)
+    for _ in range(3000):
+        data = b"".join(rnd.choice([b"a", b"\xc3\xa9", b"\n", b"\r", b"\r\n"]) for _ in range(rnd.randrange(40)))
+        cuts = sorted({0, len(data), *(rnd.randrange(len(data) + 1) for _ in range(rnd.randrange(5)))})
+        got = []
+        for start, stop in zip(cuts, cuts[1:]):
+            got += [(at, line) for at, line, _ in lines_between(io.BytesIO(data), start, stop, None, rnd.choice([1, 2, 5, 100]))]
+        assert got == plain_lines(data)
+
+
+def test_reading_from_a_listing(spark, tmp_path):
+    (tmp_path / "crlf.log").write_bytes(b"one\r\ntwo\rthree\n\nlast")
+    (tmp_path / "empty.log").write_bytes(b"")
+    (tmp_path / "bad.log").write_bytes(b"a\xffb\n")
+    rows = [(str(tmp_path / n), os.path.getsize(tmp_path / n)) for n in ("crlf.log", "empty.log", "bad.log")]
+    rows += [(str(tmp_path / "gone"), 5), (None, 3), (str(tmp_path / "crlf.log"), None)]
+    files = spark.createDataFrame(rows, "path string, length bigint")
+    for span in (3, 1000):
+        got = sorted((os.path.basename(r.path), r["at"], r.line) for r in read_lines(files, span).collect())
+        assert got == [("bad.log", 0, "a\ufffdb"), ("crlf.log", 0, "one"), ("crlf.log", 5, "two"), ("crlf.log", 9, "three"), ("crlf.log", 15, ""), ("crlf.log", 16, "last")]
+    whole = {os.path.basename(r.path): r.raw for r in read_texts(files.limit(4)).collect()}
+    assert whole == {"crlf.log": "one\r\ntwo\rthree\n\nlast", "empty.log": "", "bad.log": "a\ufffdb\n"}
+
+
+def test_a_file_under_two_roots_is_read_once(spark, tmp_path):
+    (tmp_path / "run").mkdir()
+    (tmp_path / "run" / "ADCIRC_X_y.out.log").write_text("a\nb\n")
+    assert scan_log_lines(spark, [str(tmp_path), str(tmp_path / "run")]).count() == 2
 
 
 def test_tree_comparison(spark, tmp_path):
