@@ -38,6 +38,11 @@ class Limits:
     segments: int = 256
     loss_tokens: int = 1024
 
+    def __post_init__(self) -> None:
+        # a token that no empty sequence can hold would never be placed
+        if min(self.tokens, self.segments, self.loss_tokens) < 1:
+            raise ValueError("a sequence must have room for a token, a segment and a loss-bearing token")
+
     def vector(self) -> np.ndarray:
         return np.array([self.tokens, self.segments, self.loss_tokens], np.float64)
 

@@ -1,21 +1,24 @@
 """SimHash near-duplicates found with BK-trees over bounded shards of fingerprints.
 
-Two fingerprints that differ in at most r of 64 bits agree on at least two of r + 2 blocks of bits. Each
-distinct fingerprint is therefore filed under every pair of its blocks, and only shards of one pair's value are
-searched. A shard's tree keeps each code below its parent under the integer distance of the two; a search
-follows only edges whose distance is within r of its own. A value with more codes than a shard may hold is
-split, and every block of its codes goes to the trees of all its shards, which are broadcast when their
-number is small.
+The set of distinct fingerprints is cut into shards of some hundreds of codes, and each shard is searched by a tree: every code lies below
+its parent on the edge of the integer distance of the two, and a search follows only edges whose distance is within r of its own. Shards
+are made so that two codes at most r bits apart share one: they agree on at least one whole of r + 1 blocks of bits, so every code is filed
+under some bits of each block, as many as the number of codes asks for. What a tree searches is much wider than what it links: codes of a
+shard agree on a few bits only, and the tree alone tells which are near.
+
+A shard that holds far more codes than others (fingerprints of like texts) is filed again, by a part of its remaining bits; as its
+codes agree on one block, the remaining bits of two near codes agree on one of r + 1 parts. What is too large even then is
+split, and every part of its codes goes to the trees of all its parts, which are broadcast when their number is small.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pin
@@ -97,9 +100,9 @@ class BKTree:
             distance = (self.codes[at] ^ code).bit_count()
             if distance <= radius:
                 yield at
-            for edge, child in self.children[at].items():
-                if distance - radius <= edge <= distance + radius:
-                    todo.append(child)
+            below = self.children[at]
+            if below:
+                todo += [below[edge] for edge in range(max(distance - radius, 1), distance + radius + 1) if edge in below]
 
     @classmethod
     def rebuilt(cls, codes: list[int], parents: list[int], edges: list[int]) -> BKTree:
@@ -186,20 +189,48 @@ def _links_between(radius: int):
     return work
 
 
+#: Codes that a tree holds on average.
+TREE_CODES = 512
+
+
+def _bits_of(places: range | list[int]) -> Column:
+    """The bits of a code at some places."""
+    mask = sum(1 << place for place in places)
+    return F.col("code").bitwiseAND(F.lit(_signed(mask)))
+
+
+def _parts(places: list[int], n: int) -> list[list[int]]:
+    return [places[len(places) * i // n : len(places) * (i + 1) // n] for i in range(n)]
+
+
+def _filed(codes: DataFrame, max_bits: int, shard_codes: int) -> DataFrame:
+    """``code, key, n``: every code under the keys of its shards, those of one code alone left out, with the shard's number of codes."""
+    blocks = _parts(list(range(BITS)), max_bits + 1)
+    # the more codes, the more bits of a block part them
+    wide = math.ceil(math.log2(max(1, codes.count() / min(TREE_CODES, shard_codes))))
+    keys = [F.xxhash64(F.lit(i), _bits_of(block[:wide])) for i, block in enumerate(blocks)]
+    first = _sized(codes.select("code", F.posexplode(F.array(*keys)).alias("block", "key")))
+    small, large = first.where(F.col("n") <= shard_codes), first.where(F.col("n") > shard_codes)
+    again = []
+    for i, block in enumerate(blocks):
+        rest = _parts([place for place in range(BITS) if place not in block], max_bits + 1)
+        # near codes that meet here for good agree on the whole block, the bits that have not parted them yet too
+        again.append(F.array(*(F.xxhash64("key", _bits_of(block), F.lit(j), _bits_of(part)) for j, part in enumerate(rest))))
+    finer = _sized(large.select("code", "block", F.explode(F.element_at(F.array(*again), F.col("block") + 1)).alias("key")))
+    return small.unionByName(finer).select("code", "key", "n")
+
+
+def _sized(filed: DataFrame) -> DataFrame:
+    sizes = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return filed.join(sizes, "key")
+
+
 def code_links(codes: DataFrame, max_bits: int = 2, shard_codes: int = 4096) -> DataFrame:
     """``a, b``: links that connect every two distinct ``code`` values at most ``max_bits`` bits apart.
 
     Within a shard only a spanning forest of the links is given; which codes are connected is exact.
     """
-    blocks = max_bits + 2
-    cuts = [BITS * i // blocks for i in range(blocks + 1)]
-    keys = [
-        F.xxhash64(F.lit(p), *(F.shiftrightunsigned("code", cuts[i]).bitwiseAND((1 << (cuts[i + 1] - cuts[i])) - 1) for i in pair))
-        for p, pair in enumerate(combinations(range(blocks), 2))
-    ]
-    filed = codes.select("code", F.explode(F.array(*keys)).alias("key"))
-    sizes = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    filed = filed.join(sizes, "key").withColumn("shards", F.ceil(F.col("n") / shard_codes))
+    filed = _filed(pin(codes), max_bits, shard_codes).withColumn("shards", F.ceil(F.col("n") / shard_codes))
     shard = F.pmod(F.xxhash64("code", F.lit(SEED)), F.col("shards"))
     shards = pin(filed.groupBy("key", "shards", shard.alias("shard")).agg(F.collect_list("code").alias("codes")))
     whole = shards.where("shards = 1").select("codes").mapInArrow(_links_inside(max_bits), "a bigint, b bigint")
@@ -209,7 +240,7 @@ def code_links(codes: DataFrame, max_bits: int = 2, shard_codes: int = 4096) ->
     trees = split.select("key", "shard", "codes").mapInArrow(_build, schema)
     if split.count() <= BROADCAST_TREES:
         trees = F.broadcast(trees)
-    # every block of codes meets its own tree and those after it once
+    # every part of the codes meets its own tree and those after it once
     sent = split.select("key", "codes", F.explode(F.sequence("shard", F.col("shards") - 1)).alias("shard"))
     across = sent.join(trees, ["key", "shard"]).select("codes", "tree_codes", "parents", "edges")
     return whole.unionByName(across.mapInArrow(_links_between(max_bits), "a bigint, b bigint"))
@@ -240,9 +271,16 @@ def near_duplicates(docs: DataFrame, n_words: int = 3, max_bits: int = 2, shard_
 def keep_one(docs: DataFrame, n_words: int = 3, max_bits: int = 2) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component, all columns as they were.
 
-    A doc_id names one document: of rows that repeat it one stays. Rows without doc_id stay, as no link can name them.
+    A doc_id names one document: of rows that repeat it the one with the smallest hash of its text counts, before groups are formed, and the
+    others go. Rows without doc_id stay, as no link can name them.
     """
-    groups = near_duplicates(docs, n_words, max_bits)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    named = docs.where(F.col("doc_id").isNotNull())
+    marked = named.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_mark"))
+    ids = marked.groupBy("_id").agg(F.count("*").alias("n"), F.min("_mark").alias("first"))
+    repeated = ids.where("n > 1")
+    if not repeated.isEmpty():
+        marked = marked.join(repeated.select("_id", "first"), "_id", "left").where("first IS NULL OR first = _mark").dropDuplicates(["_id"])
+        named = pin(marked.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))
+    groups = near_duplicates(named, n_words, max_bits)
+    keep = groups.where("doc_id = component_id").select("doc_id")
+    return named.join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

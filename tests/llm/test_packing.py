@@ -116,3 +116,9 @@ def test_query(spark, name):
             assert offset == at
             at += length
         assert at == 1024 or at & (at - 1) == 0
+
+
+@pytest.mark.parametrize("none", ["tokens", "segments", "loss_tokens"])
+def test_sequences_that_can_hold_nothing_are_refused(none):
+    with pytest.raises(ValueError):
+        Limits(**{none: 0})
