@@ -25,16 +25,17 @@ EXACT = 1 << 53
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``vec_id, vector``: each component x, as double, turned into floor(scale * x).
+    """``vec_id, vector, copies``: each component x, as double, turned into floor(scale * x).
 
-    Vectors that are null, or hold null or non-finite components, and rows without vec_id are left out, and equal rows
-    count once. A vector without components is kept; its inner products are 0.
+    Vectors that are null, or hold null or non-finite components, and rows without vec_id are left out. Rows that are equal then are
+    one with their number in ``copies``. A vector without components is kept; its inner products are 0.
     """
     parts = F.col(vector_col).cast("array<double>")
     sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     good = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(F.forall(parts, sound))
     whole = F.transform(parts, lambda x: F.floor(x * F.lit(float(scale))).cast("bigint"))
-    return good.select(F.col(id_col).cast("bigint").alias("vec_id"), whole.alias("vector")).distinct()
+    rows = good.select(F.col(id_col).cast("bigint").alias("vec_id"), whole.alias("vector"))
+    return rows.groupBy("vec_id", "vector").agg(F.count("*").alias("copies"))
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -70,21 +71,32 @@ def best(scores: np.ndarray, same: np.ndarray, k: int) -> list[np.ndarray]:
     return chosen
 
 
+LIST = "query_id bigint, query_key bigint, query_copies bigint, vec_id bigint, score bigint, copies bigint, shard int"
+
+
 def _cell(k: int):
     def work(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list[np.ndarray]] = {"query_id": [], "vec_id": [], "score": []}
+        out: dict[str, list[np.ndarray]] = {c: [] for c in ("query_id", "query_key", "query_copies", "vec_id", "score", "copies")}
         if len(queries) and len(shard):
             shard = shard.sort_values("other_id", kind="stable")
             width = max(queries["vector"].map(len).max(), shard["other"].map(len).max(), 1)
             ids, right = shard["other_id"].to_numpy(np.int64), _matrix(shard["other"], width)
+            others, copies = shard["other"].tolist(), shard["other_copies"].to_numpy(np.int64)
             for at in range(0, len(queries), BLOCK):
                 block = queries.iloc[at : at + BLOCK]
                 own = block["vec_id"].to_numpy(np.int64)
+                vectors = block["vector"].tolist()
                 scores = _products(_matrix(block["vector"], width), right)
-                for query, row, places in zip(own, scores, best(scores, own[:, None] == ids, k)):
-                    out["query_id"].append(np.full(len(places), query))
+                # a query's own row is one of the copies of its vec_id and vector
+                mine = own[:, None] == ids
+                for i, j in zip(*np.nonzero(mine)):
+                    mine[i, j] = np.array_equal(vectors[i], others[j])
+                for i, places in enumerate(best(scores, mine & (copies == 1), k)):
                     out["vec_id"].append(ids[places])
-                    out["score"].append(row[places])
+                    out["score"].append(scores[i, places])
+                    out["copies"].append(copies[places] - mine[i, places])
+                    for name, value in (("query_id", own[i]), ("query_key", block["query_key"].iloc[i]), ("query_copies", block["copies"].iloc[i])):
+                        out[name].append(np.full(len(places), value, np.int64))
         whole = {name: np.concatenate(parts) if parts else np.zeros(0, np.int64) for name, parts in out.items()}
         number = int(shard["in_shard"].iloc[0]) if len(shard) else 0
         return pd.DataFrame(whole).assign(shard=number)
@@ -92,29 +104,44 @@ def _cell(k: int):
     return work
 
 
+def _counted(vectors: DataFrame) -> DataFrame:
+    """Rows with their number of copies, one each if it is not given."""
+    if "copies" in vectors.columns:
+        return vectors.select("vec_id", "vector", "copies")
+    return vectors.groupBy("vec_id", "vector").agg(F.count("*").alias("copies"))
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, query_rows: int = QUERY_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score`` of each query's k best candidates, all if there are fewer.
 
-    Both tables are ``vec_id, vector`` as from ``integer_vectors``. A candidate with the query's own vec_id is no match. Ties go to the
-    smaller vec_id. Different vectors under one vec_id are rows of their own; as queries their lists are one, the
-    best k of all. A product that a long cannot hold wraps around. Empty tables give an empty one.
+    Both tables are ``vec_id, vector`` (and ``copies``, how often the row is there) as from ``integer_vectors``. Every row is a query or
+    candidate of its own: a query's own row, which is one candidate with its vec_id and vector, is no match, its copies and other vectors under its
+    vec_id are, and a query that is there twice has two lists. Ties go to the smaller vec_id. A product that a long cannot hold wraps
+    around. Empty tables give an empty one.
     """
+    queries, candidates = _counted(queries), _counted(candidates)
     tiles = lambda rows, size: max(1, math.ceil(rows.count() / size))
     n_queries, n_shards = tiles(queries, query_rows), tiles(candidates, shard_rows)
     # equal rows were made one, so a hash of the whole row deals out any group of copies
-    place = lambda n: F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n)).cast("int")
+    key = F.xxhash64("vec_id", "vector")
+    place = lambda n: F.pmod(key, F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("vec_id", "vector", place(n_queries).alias("tile")).withColumn("shard", every(n_shards))
+    left = queries.select("vec_id", "vector", "copies", key.alias("query_key"), place(n_queries).alias("tile")).withColumn("shard", every(n_shards))
     # names of their own: both sides may come from one table
-    right = candidates.select(F.col("vec_id").alias("other_id"), F.col("vector").alias("other"), place(n_shards).alias("in_shard"))
-    right = right.withColumn("for_tile", every(n_queries))
-    lists = left.groupBy("tile", "shard").cogroup(right.groupBy("for_tile", "in_shard")).applyInPandas(
-        _cell(k), "query_id bigint, vec_id bigint, score bigint, shard int"
+    right = candidates.select(
+        F.col("vec_id").alias("other_id"), F.col("vector").alias("other"), F.col("copies").alias("other_copies"), place(n_shards).alias("in_shard")
     )
+    right = right.withColumn("for_tile", every(n_queries))
+    lists = left.groupBy("tile", "shard").cogroup(right.groupBy("for_tile", "in_shard")).applyInPandas(_cell(k), LIST)
+    query = ["query_id", "query_key"]
     while n_shards > 1:
         n_shards = math.ceil(n_shards / FAN_IN)
-        lists = _merged(lists.withColumn("shard", F.expr(f"shard div {FAN_IN}").cast("int")), k, "query_id", "shard")
-    return _merged(lists, k, "query_id").select("query_id", "rank", "vec_id", "score")
+        lists = _merged(lists.withColumn("shard", F.expr(f"shard div {FAN_IN}").cast("int")), k, *query, "shard")
+    # copies of a candidate take a rank each
+    copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("copies", F.lit(k).cast("bigint"))))
+    whole = _merged(_merged(lists, k, *query).withColumn("copy", copy), k, *query)
+    again = F.explode(F.sequence(F.lit(1).cast("bigint"), "query_copies"))
+    return whole.select("query_id", "rank", "vec_id", "score", again.alias("copy")).drop("copy")
 
 
 def _merged(lists: DataFrame, k: int, *group: str) -> DataFrame:
