@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import cached_property
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.durations import parse_datetime
 from ..functions.paths import plain_path
+from .boundaries import read_boundaries
 from .text import _placed_lines, number_lines
 
-_BOUNDARY = "mesh_id string, is_open boolean, boundary_id int, boundary_type int, pos int, node_id bigint"
-
 
 def _numbered(spark: SparkSession, paths: list[str] | str, glob: str | None) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", True)
@@ -35,12 +33,16 @@ def _double(i: int) -> Column:
 
 
 class MeshTables:
-    """The three tables of a set of meshes."""
+    """The three tables of a set of meshes. Boundaries take jobs of their own, which run when they are first asked for."""
 
-    def __init__(self, nodes: DataFrame, elements: DataFrame, boundaries: DataFrame):
+    def __init__(self, nodes: DataFrame, elements: DataFrame, tail: DataFrame):
         self.nodes = nodes
         self.elements = elements
-        self.boundaries = boundaries
+        self._tail = tail
+
+    @cached_property
+    def boundaries(self) -> DataFrame:
+        return read_boundaries(self._tail)
 
 
 def scan_mesh(spark: SparkSession, paths: list[str] | str, glob: str | None = None) -> MeshTables:
@@ -52,7 +54,7 @@ def parse_mesh(lines: DataFrame) -> MeshTables:
     """The tables of meshes given as ``(mesh_id, line_no, line)``, lines counted from 1.
 
     The header gives the number of elements and nodes, so each line's place tells what it is. The
-    boundary tail, whose blocks each start with a count, is streamed in line order.
+    blocks of the boundary tail each start with a count, which tells where the next one starts.
     """
     lines = _split(lines)
     header = lines.where("line_no = 2").select("mesh_id", _int(0).alias("n_elements"), _int(1).alias("n_nodes"))
@@ -68,43 +70,7 @@ def parse_mesh(lines: DataFrame) -> MeshTables:
         F.transform(F.slice("w", 3, F.get("w", 1).cast("int")), lambda n: n.try_cast("bigint")).alias("nodes"),
     )
     tail = placed.where(F.col("line_no") > last_element).select("mesh_id", "line_no", "w")
-    boundaries = (
-        tail.repartition("mesh_id").sortWithinPartitions("mesh_id", "line_no").mapInPandas(_read_boundaries, _BOUNDARY)
-    )
-    return MeshTables(nodes, elements, boundaries)
-
-
-def _read_boundaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Boundary nodes of tails sorted by mesh and line, keeping only the place reached."""
-    mesh = None
-    for batch in batches:
-        rows = []
-        for mesh_id, words in zip(batch["mesh_id"], batch["w"]):
-            if mesh_id != mesh:
-                # sections in turn: open, then land; each has a count, a node total, then its boundaries
-                mesh, section, awaiting, left, boundary, pos, remaining = mesh_id, 0, "count", 0, 0, 0, 0
-                kind = None
-            if awaiting == "done" or not words[0].lstrip("-").isdigit():
-                continue
-            number = int(words[0])
-            if awaiting == "count":
-                left, boundary, awaiting = number, 0, "total"
-            elif awaiting == "total":
-                awaiting = "boundary"
-            elif awaiting == "boundary":
-                boundary, pos, remaining, left = boundary + 1, 0, number, left - 1
-                kind = int(words[1]) if section == 1 and len(words) > 1 and words[1].lstrip("-").isdigit() else None
-                awaiting = "node" if remaining else "boundary"
-            else:
-                pos, remaining = pos + 1, remaining - 1
-                rows.append((mesh, section == 0, boundary, kind, pos, number))
-                awaiting = "node" if remaining else "boundary"
-            if awaiting == "boundary" and left == 0:
-                section += 1
-                awaiting = "count" if section < 2 else "done"
-        out = pd.DataFrame(rows, columns=["mesh_id", "is_open", "boundary_id", "boundary_type", "pos", "node_id"])
-        out["boundary_type"] = out["boundary_type"].astype("Int32")
-        yield out
+    return MeshTables(nodes, elements, tail)
 
 
 class AttributeTables:
