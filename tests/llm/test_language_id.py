@@ -1,12 +1,13 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from fleetlens.llm import queries
-from fleetlens.llm.language_id import PAD, Scorer, _grams, identify, train
+from fleetlens.llm import language_id, queries
+from fleetlens.llm.language_id import PAD, UNIT, Scorer, _digest, _strings, identify, train
 
 WORDS = {"aa": ["the", "of", "shore", "ness"], "bb": ["la", "été", "que", "mér"], "cc": ["über", "und", "schön", "keit"]}
 
@@ -40,14 +41,60 @@ def plain_bits(train_texts, text):
     return bits
 
 
+def counts(texts):
+    return np.unique(np.concatenate([_strings(PAD + t.encode()) for t in texts]), return_counts=True)
+
+
 def test_code_lengths_are_exact():
     rnd = random.Random(4)
     texts = {lang: [sample(rnd, lang, 15) for _ in range(4)] for lang in WORDS}
-    model = {lang: np.unique(np.concatenate([_grams(t.encode()) for t in own]), return_counts=True) for lang, own in texts.items()}
-    scorer = Scorer(model)
+    scorer = Scorer({lang: counts(own) for lang, own in texts.items()})
     for text in ["", "a", "ß?\x00", sample(rnd, "bb", 9), "\U0001f600 the été", sample(rnd, "aa", 5) + "#@!"]:
         for _ in range(2):
-            assert scorer.bits(text.encode()) == pytest.approx([plain_bits(texts[lang], text) for lang in scorer.languages], rel=1e-5)
+            assert scorer.units(text.encode()) / UNIT == pytest.approx([plain_bits(texts[lang], text) for lang in scorer.languages], rel=1e-5)
+
+
+def test_lengths_do_not_hang_on_what_the_table_holds(monkeypatch):
+    rnd = random.Random(6)
+    model = {lang: counts([sample(rnd, lang, 30)]) for lang in WORDS}
+    texts = [sample(rnd, rnd.choice(list(WORDS)), 3000) + "".join(chr(rnd.randrange(1, 0xD000)) for _ in range(3000)) for _ in range(3)]
+    texts += ["\0" * 50, "a", *texts]
+    large = Scorer(model)
+    wanted = [large.units(t.encode()).tolist() for t in texts]
+    # eight places, and parts that cut texts
+    monkeypatch.setattr(language_id, "TABLE_BYTES", 8 * (4 + 4 * len(model)))
+    small = Scorer(model)
+    small.chunk = 500
+    assert len(small.keys) == 8
+    assert [small.units(t.encode()).tolist() for t in texts] == wanted
+
+
+def test_many_scripts_take_bounded_memory():
+    rnd = random.Random(2)
+    starts = [0x400 + 0x500 * i for i in range(40)]
+    write = lambda start, n: "".join(chr(start + rnd.randrange(0x300)) for _ in range(n))
+    tracemalloc.start()
+    scorer = Scorer({f"s{i:02}": counts([write(start, 5000)]) for i, start in enumerate(starts)})
+    for i, start in enumerate(starts):
+        assert scorer.predict(write(start, 50_000))[0] == f"s{i:02}"
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+def test_equal_lengths_go_to_the_first_name():
+    same = counts(["one text for both"])
+    assert Scorer({"zz": same, "mm": same}).predict("one text") == ("mm", 0.5)
+    assert _digest({"a": same}) == _digest({"a": same}) != _digest({"b": same})
+
+
+def test_long_texts_are_trained_on_only_where_others_lack(spark):
+    rows = [(f"{i} ab", "aa") for i in range(5)] + [("x" * 300, "aa"), ("y" * 300, "bb"), ("y z", "bb")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = train(docs, sample_docs=5, text_bytes=100)
+    assert model["aa"][1].sum() == sum(len(t) for t, _ in rows[:5])
+    assert model["bb"][1].sum() == 303
+    for name, own in (("aa", [t for t, _ in rows[:5]]), ("bb", ["y" * 300, "y z"])):
+        assert all(np.array_equal(a, b) for a, b in zip(model[name], counts(own)))
 
 
 def test_edge_rows(spark):
