@@ -18,7 +18,7 @@ from .quality_rules import judge
 from .resampling import resample
 from .secret_scan import KINDS, find_secrets, spans
 from .simhash import near_duplicates
-from .token_counts import TokenRollup, counted, inserts, utf8_bytes, words
+from .token_counts import TokenRollup, counted, counted_by_file, inserts, utf8_bytes, words
 from .topk import integer_vectors, top_k
 from .warc import archive, read_pages
 
@@ -178,19 +178,42 @@ LONE_BAR = r"(?<![^\x20\x09-\x0D])\|(?![^\x20\x09-\x0D])"
     SELECT source, lang, tokenizer, count(*) AS documents, sum(tokens)::BIGINT AS tokens FROM counts GROUP BY ALL
     """
 )
-def op5_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches: all documents come, table bars stop counting as words, exact copies go. The last two come twice."""
+def token_totals_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and bytes in place of a vocabulary's tokens, which SQL can count too. All documents come, table bars stop counting as words,
+    exact copies go. The last two batches come twice."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
     text = F.col("text")
-    rollup = TokenRollup(spark, f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}")
-    load = inserts(counted(docs, {"words-1": words(text), "bytes-1": utf8_bytes(text)}))
+    names = {"words-1": words(text), "bytes-1": utf8_bytes(text)}
     bars = F.regexp_count(text, F.lit(LONE_BAR))
     revised = inserts(counted(docs.where(bars > 0), {"words-1": words(text) - bars}), 1, "revise")
-    marks = docs.select("doc_id", "source", "lang", F.sha2(F.coalesce(text, F.lit("")), 256).alias("mark"))
+    return _totals_after(spark, [("load", inserts(counted(docs, names))), *2 * [("bars", revised), ("copies", _copies_gone(docs, list(names)))]])
+
+
+@query()
+def op5_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals under two versions of a public tokenizer. All documents come under the first, then under the second; under the first, table bars
+    are taken out of texts; exact copies go under both. The last two batches come twice, and the first again at the end."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    first, second = "byte_bpe_50k", "byte_bpe_multi_50k"
+    load = inserts(counted_by_file(docs, first, vocabulary(f"{first}.json")))
+    added = inserts(counted_by_file(docs, second, vocabulary(f"{second}.tiktoken")))
+    barred = docs.where(F.rlike("text", F.lit(LONE_BAR))).withColumn("text", F.regexp_replace("text", LONE_BAR, ""))
+    revised = inserts(counted_by_file(barred, first, vocabulary(f"{first}.json")), 1, "revise")
+    gone = _copies_gone(docs, [first, second])
+    return _totals_after(spark, [("load", load), ("added", added), *2 * [("bars", revised), ("copies", gone)], ("load", load)])
+
+
+def _copies_gone(docs: DataFrame, tokenizers: list[str]) -> DataFrame:
+    """Deletions of all but the first of documents with equal texts."""
+    marks = docs.select("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("mark"))
     first = marks.groupBy("mark").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
     copies = marks.join(first, "mark").where("doc_id <> first_id")
-    gone = inserts(counted(copies, {name: F.lit(0).cast("bigint") for name in ("words-1", "bytes-1")}), 2, "delete")
-    for name, changes in (("load", load), ("bars", revised), ("copies", gone), ("bars", revised), ("copies", gone)):
+    return inserts(counted(copies, {name: F.lit(0).cast("bigint") for name in tokenizers}), 2, "delete")
+
+
+def _totals_after(spark: SparkSession, batches: list[tuple[str, DataFrame]]) -> DataFrame:
+    rollup = TokenRollup(spark, f"{ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}")
+    for name, changes in batches:
         rollup.commit(name, changes)
     return rollup.totals()
 
