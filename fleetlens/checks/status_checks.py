@@ -19,6 +19,7 @@ from ..operators.status import (
     outermost_runs,
     prune_empty_categories,
     report_rank,
+    run_records,
     run_status,
     schism_progress,
     severity_name,
@@ -209,6 +210,27 @@ def verbose_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verbose_record(run_status(files, lines, verbose=True), collect_issues(files, lines, verbose=True))
 
 
+@check(
+    _ISSUES_VERBOSE
+    + f""", full_status AS ({_status_sql("true").replace("WITH ", "WITH ", 1)}),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY run_path
+                      ORDER BY severity DESC, category, file_name, line_no NULLS FIRST, message) - 1) // 50 AS piece FROM rated),
+file_parts AS (SELECT run_path, piece, severity, category, file_name, list(message ORDER BY line_no NULLS FIRST, message) AS messages
+               FROM placed GROUP BY ALL),
+file_texts AS (SELECT *, '"' || file_name || '":' || CAST(to_json(messages) AS VARCHAR) AS text FROM file_parts),
+category_parts AS (SELECT run_path, piece, severity, category, string_agg(text, ',' ORDER BY file_name) AS files FROM file_texts GROUP BY ALL),
+category_texts AS (SELECT *, ',"' || category || '":{{' || files || '}}' AS text FROM category_parts),
+record_parts AS (SELECT run_path, piece, string_agg(text, '' ORDER BY severity DESC, category) AS found FROM category_texts GROUP BY ALL)
+SELECT run_path, run_name, status, progress, coalesce(piece, 0) AS piece,
+       '{{"status":"' || status || '","progress":"' || progress_text || '%"' || coalesce(found, '') || '}}' AS record
+FROM full_status LEFT JOIN record_parts USING (run_path)"""
+)
+def records_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested records, with few messages each so that long runs go on in further records."""
+    files, lines = fleet(spark, sf_dir)
+    return run_records(run_status(files, lines, verbose=True), collect_issues(files, lines, verbose=True), messages_per_record=50)
+
+
 @check(
     f"""WITH {FLEET_CTE},
 lines AS (SELECT *, max(CASE WHEN regexp_matches(line, '^(?i)error') THEN line_no END)

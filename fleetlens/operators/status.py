@@ -448,6 +448,35 @@ def verbose_record(status: DataFrame, issues: DataFrame, lines_per_part: int = 1
     )
 
 
+def run_records(status: DataFrame, issues: DataFrame, messages_per_record: int = 10_000) -> DataFrame:
+    """``run_path, run_name, status, progress, piece, record``: a nested JSON record per run.
+
+    A record holds status and progress and, under each category with problems, the messages of each file; the worst category
+    comes first. A run with more than ``messages_per_record`` messages goes on in further records, counted by ``piece`` from 0,
+    so no row grows without bound; together they hold every message once, in order.
+    """
+    order = [F.col("severity").desc(), F.col("category"), F.col("file_name"), F.col("line_no"), F.col("message")]
+    numbered = rank_within(issues, ["run_path"], order, "_rank")
+    numbered = numbered.withColumn("piece", F.floor((F.col("_rank") - 1) / messages_per_record).cast("bigint"))
+    inner = lambda key, text, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*key, text))), lambda e: e["_text"]), sep)
+    messages = F.to_json(F.array_sort(F.collect_list(F.struct("line_no", "message")))["message"])
+    named = lambda name, text: F.concat(_quoted(F.col(name)), F.lit(":"), text).alias("_text")
+    files = numbered.groupBy("run_path", "piece", "severity", "category", "file_name").agg(named("file_name", messages))
+    found = F.concat(F.lit("{"), inner(["file_name"], "_text", ","), F.lit("}"))
+    categories = files.groupBy("run_path", "piece", "severity", "category").agg(named("category", found))
+    worst = [(-F.col("severity")).alias("_place"), "category"]
+    pieces = categories.groupBy("run_path", "piece").agg(inner(worst, "_text", ",").alias("_found"))
+    head = F.concat(
+        F.lit('{"status":'), _quoted(F.col("status")), F.lit(',"progress":'),
+        _quoted(F.concat(F.col("progress_text"), F.lit("%"))),
+    )
+    return status.join(pieces, "run_path", "left").select(
+        "run_path", "run_name", "status", "progress",
+        F.coalesce("piece", F.lit(0).cast("bigint")).alias("piece"),
+        F.concat(head, F.coalesce(F.concat(F.lit(","), "_found"), F.lit("")), F.lit("}")).alias("record"),
+    )
+
+
 def _quoted(text: Column) -> Column:
     return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.report_tree import rollup_tree
-from ..operators.status import collect_issues, group_issues, outermost_runs, run_status, sort_report, verbose_record
+from ..operators.status import collect_issues, group_issues, outermost_runs, run_records, run_status, sort_report, verbose_record
 from ..session import pin
 from ..sources.run_files import scan_run_files
 from ..sources.text import listed_log_lines
@@ -46,3 +46,10 @@ def fleet_problems(spark: SparkSession, roots: list[str]) -> DataFrame:
     files = scan_run_files(spark, roots)
     lines = listed_log_lines(files)
     return verbose_record(run_status(files, lines, verbose=True), collect_issues(files, lines, verbose=True))
+
+
+def fleet_records(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """One nested record per run with all its problems."""
+    files = scan_run_files(spark, roots)
+    lines = listed_log_lines(files)
+    return run_records(run_status(files, lines, verbose=True), collect_issues(files, lines, verbose=True))

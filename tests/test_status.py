@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators.report_tree import rollup_tree
-from fleetlens.operators.status import collect_issues, detect_model, outermost_runs, run_status, unqueued_runs, verbose_record
+from fleetlens.operators.status import collect_issues, detect_model, outermost_runs, run_records, run_status, unqueued_runs, verbose_record
 from fleetlens.plans.backlog import backlog
-from fleetlens.plans.fleet_status import fleet_problem_tree, fleet_problems, fleet_report, fleet_status
+from fleetlens.plans.fleet_status import fleet_problem_tree, fleet_problems, fleet_records, fleet_report, fleet_status
 from fleetlens.sources.run_files import scan_run_files
 from fleetlens.sources.sinks import write_status_report
 from fleetlens.sources.text import scan_log_lines
@@ -118,6 +118,31 @@ def test_verbose_records_hold_the_whole_report(spark, fleet_dir):
     assert merged == {"status": "error", "progress": "9.0%", "error": {OUT: ["error 1", "Error 2"]}}
 
 
+def test_one_record_per_run(spark, fleet_dir, tables):
+    records = fleet_records(spark, [str(fleet_dir)]).collect()
+    names = [r.run_name for r in records]
+    assert len(names) == len(set(names)) and {r.piece for r in records} == {0}
+    (record,) = [json.loads(r.record) for r in records if r.run_name == "two_errors"]
+    assert record == {"status": "error", "progress": "9.0%", "error": {OUT: ["error 1", "Error 2"]}}
+    assert all("piece" not in json.loads(r.record) for r in records if r.status == "completed")
+
+
+def test_long_runs_go_on_in_further_records(spark, fleet_dir, tables):
+    files, lines = tables
+    status, issues = run_status(files, lines, verbose=True), collect_issues(files, lines, verbose=True)
+    whole = {r.run_path: json.loads(r.record) for r in run_records(status, issues).collect()}
+    merged = {}
+    for r in sorted(run_records(status, issues, messages_per_record=1).collect(), key=lambda r: (r.run_path, r.piece)):
+        into = merged.setdefault(r.run_path, {})
+        for key, value in json.loads(r.record).items():
+            if isinstance(value, dict):
+                for name, messages in value.items():
+                    into.setdefault(key, {}).setdefault(name, []).extend(messages)
+            else:
+                into[key] = value
+    assert merged == whole
+
+
 def test_runs_inside_runs_are_left_out(spark, fleet_dir, tables):
     names = {r.run_name for r in fleet_status(spark, [str(fleet_dir)]).collect()}
     assert "nested" not in names and "finished" in names
