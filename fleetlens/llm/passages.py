@@ -1,17 +1,20 @@
-"""Removal of word passages that recur, located with sharded automata of repeated phrases.
+"""Removal of word passages that recur, located with sharded automata of confirmed passages.
 
 A window of ``window`` consecutive words is represented by the smallest hash among its phrases of about half its
 length. Two equal windows have the same smallest phrase, so only phrases that are found twice can lie in a
 recurring window, and a text has about one such phrase for every nine words. The steps:
 
 1. phrases: every text gives the smallest phrases of its windows; those found twice anywhere are kept,
-2. automata: each batch of texts is a shard; the recurring phrases of its texts, as sequences of words, are compiled
-   into one Aho-Corasick automaton that is streamed over the shard's texts and locates every occurrence,
-3. confirmation: windows around a located phrase are counted by hash over all texts; those found twice recur,
-4. every word of a recurring window is removed.
-
-Each text is shuffled once and each list of hashes once. A task leaves out of the counting what it has itself
-seen twice, so a phrase that a third of all texts share sends two rows per task.
+2. partners: windows around such phrases are grouped by hash over all texts, and each text with a window that
+   another place seems to have as well asks for the words of that place, by passage: a bounded stretch of the partner's text,
+3. automata: texts are gathered to shards of bounded size; anchors, cut from the passages so that each window of a passage
+   holds one, are compiled into one Aho-Corasick automaton that is streamed over the shard's texts,
+4. confirmation: from every hit text and passage are compared word for word; a stretch of ``window`` equal words or
+   more, at another place than its own, is removed.
+
+Hashes only tell which passages to compare, so no word goes on the evidence of a hash. Each text is shuffled once. A task names
+as partner what it has itself seen twice, so a passage that a third of all texts share sends two rows per task and has
+a partner in each.
 """
 
 from __future__ import annotations
@@ -62,6 +65,8 @@ def _joined(hashes: np.ndarray, length: int) -> np.ndarray:
         if width > length:
             break
         run = run[: len(run) - width // 2] * power + run[width // 2 :]
+        # without this step alternating words would cancel out
+        run = run ^ (run >> np.uint64(32))
         power = np.uint64(int(power) * int(power) & (1 << 64) - 1)
     total = total ^ (total >> np.uint64(31))
     total = total * np.uint64(0xBF58476D1CE4E5B9)
@@ -154,6 +159,10 @@ def _recurring(rows: DataFrame) -> DataFrame:
 
 #: Words of a shard: texts are gathered until they have so many, or one text has more.
 SHARD_WORDS = 250_000
+#: Window starts of a passage; a text asks for whole passages of its partners.
+PASSAGE_STARTS = 96
+#: Bytes of passages that are sent on together.
+SENT_BYTES = 1 << 20
 #: Letters that stand for a word in an automaton: three digits to the base 64 keep its nodes narrow; the
 #: first is from an alphabet of its own, so a phrase is found at the start of a word only.
 DIGITS = 3
@@ -164,71 +173,176 @@ def _letters(number: int) -> str:
     return chr(FIRST + (number >> 12)) + chr(OTHER + (number >> 6 & 63)) + chr(OTHER + (number & 63))
 
 
-def _automaton(shard: list[tuple], size: int) -> tuple[ahocorasick.Automaton, dict[bytes, str]]:
-    """Automaton of the recurring phrases of a shard's texts, over letters given to their words."""
-    automaton, letters = ahocorasick.Automaton(ahocorasick.STORE_INTS), {}
-    added: set[int] = set()
-    for _, words, phrases, _, recurring in shard:
-        places = np.flatnonzero(np.isin(phrases, recurring))
-        values, first = np.unique(phrases[places], return_index=True)
-        for value, at in zip(values.tolist(), places[first].tolist()):
-            if value not in added:
-                added.add(value)
-                phrase = words[at : at + size]
-                for word in phrase:
-                    if word not in letters:
-                        letters[word] = _letters(len(letters))
-                automaton.add_word("".join(map(letters.__getitem__, phrase)), 1)
-    if added:
-        automaton.make_automaton()
-    return automaton, letters
-
-
-def _located_windows(window: int):
-    """Hashes of the windows whose smallest phrase the shard's automaton locates."""
-    size = phrase_words(window)
-    top = np.uint64((1 << 64) - 1)
-
-    def located(shard: list[tuple], seen: Seen) -> pa.RecordBatch:
-        automaton, letters = _automaton(shard, size)
-        parts = []
-        for key, words, phrases, smallest, _ in shard:
-            text = "".join([letters.get(w, ABSENT) for w in words])
-            ends = [end for end, _ in automaton.iter(text)] if letters else []
-            hits = np.full(len(phrases), top)
-            starts = np.array(ends, np.int64) // DIGITS - (size - 1)
-            hits[starts] = phrases[starts]
-            inside = _least(hits, window - size + 1) == smallest
-            if inside.any():
-                windows = _window_hashes(words, window, hashes)
-                parts.append(_distinct_rows(key, windows[inside], windows, seen))
-        return _rows(*map(list, zip(*parts))) if parts else _rows([], [], [], [])
-
-    hashes = WordHashes()
+class Partners:
+    """The second place that a task has met each window at, for all texts that have it later."""
+
+    def __init__(self) -> None:
+        self.once: set[int] = set()
+        self.second: dict[int, tuple[int, int]] = {}
+
+    def of(self, key: int, values: list[int], starts: list[int]) -> list[tuple[int | None, int | None]]:
+        if len(self.once) > REMEMBERED // 2:
+            self.once.clear()
+            self.second.clear()
+        out = []
+        for value, start in zip(values, starts):
+            if value in self.once:
+                out.append(self.second.get(value, (None, None)))
+                self.second.setdefault(value, (key, start))
+            else:
+                self.once.add(value)
+                out.append((None, None))
+        return out
+
+
+PLACES = "key bigint, value bigint, start int, last int, partner bigint, partner_start int"
+
+
+def _places(window: int):
+    """The windows around recurring phrases: hash, first and last start in the text, and a partner if the task knows one."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+    names = [field.split()[0] for field in PLACES.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Seen()
+        hashes, partners = WordHashes(), Partners()
         for batch in batches:
-            shard: list[tuple] = []
-            n = 0
+            parts: list[list[pa.Array]] = []
             texts = batch.column(1).field(_text_place(batch.schema.field(1).type))
             for key, text, recurring in zip(batch.column(0).to_pylist(), texts, batch.column(2)):
                 words = _words(text.as_py())
+                if len(words) < window:
+                    continue
+                hashed = hashes.of(words)
                 values = recurring.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                if len(words) >= window:
-                    shard.append((key, words, *smallest_phrases(hashes.of(words), window), values))
-                    n += len(words)
-                if n >= SHARD_WORDS:
-                    yield located(shard, seen)
-                    shard, n = [], 0
-            yield located(shard, seen)
+                starts = np.flatnonzero(np.isin(smallest_phrases(hashed, window)[1], values))
+                found = _joined(hashed ^ np.uint64(0x9E3779B97F4A7C15), window)[starts]
+                distinct, first = np.unique(found, return_index=True)
+                last = len(found) - 1 - np.unique(found[::-1], return_index=True)[1]
+                distinct, first, last = distinct.view(np.int64), starts[first], starts[last]
+                known = partners.of(key, distinct.tolist(), first.tolist())
+                columns = (np.full(len(distinct), key), distinct, first, last, *zip(*known)) if known else ((),) * 6
+                parts.append([pa.array(c, k) for c, k in zip(columns, kinds)])
+            whole = [pa.concat_arrays(c) for c in zip(*parts)] if parts else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays(whole, names)
 
     return work
 
 
-def _window_hashes(words: list[bytes], window: int, hashes: WordHashes) -> np.ndarray:
-    """Hash of every window; not a function of the phrase hashes alone, so the two err apart."""
-    return _joined(hashes.of(words) ^ np.uint64(0x9E3779B97F4A7C15), window)
+def _asked(places: DataFrame) -> DataFrame:
+    """``key, wanted``: for each text that is a partner, the passages of it that are wanted, and by which texts."""
+    # rows that know their partner need no company and are dealt out by text
+    told = F.col("partner").isNotNull()
+    own = F.struct("key", "start")
+    same = Window.partitionBy("value", F.when(told, F.col("key")))
+    found = places.select("*", F.min(own).over(same).alias("low"), F.max(own).over(same).alias("high"))
+    given = F.struct(F.col("partner").alias("key"), F.col("partner_start").alias("start"))
+    other = F.when(told, given).when(F.col("low") != own, F.col("low")).when(F.col("high") != own, F.col("high"))
+    # a window that only its own text repeats has partners there: its first place and its last
+    inside = F.array(own, F.struct("key", F.col("last").alias("start")))
+    asks = found.withColumn("other", other).where("other IS NOT NULL OR last > start")
+    asks = asks.select(F.col("key").alias("asker"), F.explode(F.when(F.col("other").isNull(), inside).otherwise(F.array("other"))).alias("at"))
+    passage = F.floor(F.col("at.start") / PASSAGE_STARTS).cast("int").alias("passage")
+    return asks.groupBy(F.col("at.key").alias("key")).agg(F.collect_set(F.struct(passage, "asker")).alias("wanted"))
+
+
+def _passages(window: int):
+    """One row per passage and text that wants it: ``key`` of that text, and the owner, first word and words."""
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) if out else [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "owner", "first", "words"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, size = [], 0
+            texts = batch.column(1).field(_text_place(batch.schema.field(1).type))
+            for owner, text, wanted in zip(batch.column(0).to_pylist(), texts, batch.column(2)):
+                words, cut = _words(text.as_py()), {}
+                number, asker = (wanted.values.field(i).to_pylist() for i in range(2))
+                for passage, key in zip(number, asker):
+                    first = passage * PASSAGE_STARTS
+                    if passage not in cut:
+                        cut[passage] = b" ".join(words[first : first + PASSAGE_STARTS + window - 1]).decode()
+                    out.append((key, owner, first, cut[passage]))
+                    size += len(cut[passage])
+                    if size >= SENT_BYTES:
+                        yield rows(out)
+                        out, size = [], 0
+            yield rows(out)
+
+    return work
+
+
+class Shard:
+    """Automaton of the anchors of passages; finds and confirms what texts share with them."""
+
+    def __init__(self, window: int) -> None:
+        self.window, self.size = window, phrase_words(window)
+        self.numbers: dict[bytes, int] = {}
+        self.origins: dict[str, list[tuple[int, int]]] = {}
+
+    def add(self, owner: int, first: int, words: str) -> None:
+        """A passage with its place; two places are enough to know that one of them is not a text's own."""
+        places = self.origins.setdefault(words, [])
+        if len(places) < 2 and (owner, first) not in places:
+            places.append((owner, first))
+
+    def compile(self) -> None:
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.letters: list[str] = []
+        self.passages: list[tuple[np.ndarray, list[tuple[int, int]]]] = []
+        self.anchors: list[list[tuple[int, int]]] = []
+        known: dict[str, int] = {}
+        for text, places in self.origins.items():
+            numbers = [self.numbers.setdefault(w, len(self.numbers)) for w in text.encode().split()]
+            self.letters += map(_letters, range(len(self.letters), len(self.numbers)))
+            # every window holds an anchor that starts at a multiple of this
+            for at in range(0, len(numbers) - self.size + 1, self.window - self.size + 1):
+                anchor = "".join([self.letters[n] for n in numbers[at : at + self.size]])
+                if anchor not in known:
+                    known[anchor] = len(self.anchors)
+                    self.anchors.append([])
+                    self.automaton.add_word(anchor, known[anchor])
+                self.anchors[known[anchor]].append((len(self.passages), at))
+            self.passages.append((np.array(numbers, np.int64), places))
+        self.letters.append(ABSENT)
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def covered(self, key: int, words: list[bytes]) -> np.ndarray:
+        """Words of a text in stretches of a window or more that a passage has, too, at another place than the text's own."""
+        gone = np.zeros(len(words), bool)
+        if not len(self.automaton):
+            return gone
+        numbers = [self.numbers.get(w, -1) for w in words]
+        doc, reach = np.array(numbers, np.int64), self.window - self.size
+        for end, anchor in self.automaton.iter("".join([self.letters[n] for n in numbers])):
+            at = end // DIGITS - self.size + 1
+            # what lies further off is in reach of another anchor
+            near = gone[max(0, at - reach) : at + self.window]
+            if near.all():
+                continue
+            for passage, place in self.anchors[anchor]:
+                other, places = self.passages[passage]
+                if all(p == (key, at - place) for p in places):
+                    continue
+                back = min(at, place, reach)
+                left = _equal(doc[at - back : at][::-1], other[place - back : place][::-1])
+                after, there = at + self.size, place + self.size
+                ahead = min(len(doc) - after, len(other) - there, reach)
+                right = _equal(doc[after : after + ahead], other[there : there + ahead])
+                if left + self.size + right >= self.window:
+                    gone[at - left : after + right] = True
+                    if near.all():
+                        break
+        return gone
+
+
+def _equal(one: np.ndarray, other: np.ndarray) -> int:
+    """Length of the common start."""
+    differs = np.flatnonzero(one != other)
+    return int(differs[0]) if len(differs) else len(one)
 
 
 def _text_place(kind: pa.StructType) -> int:
@@ -236,28 +350,41 @@ def _text_place(kind: pa.StructType) -> int:
 
 
 def _removal(window: int):
-    """Per text: its words, those covered by a recurring window, and what is left."""
-    hashes = WordHashes()
-
-    def covered(words: list[bytes], recurring: np.ndarray) -> np.ndarray:
-        step = np.zeros(len(words) + 1, np.int64)
-        starts = np.flatnonzero(np.isin(_window_hashes(words, window, hashes), recurring))
-        np.add.at(step, starts, 1)
-        np.add.at(step, starts + window, -1)
-        return np.cumsum(step[:-1]) > 0
+    """Per text: its words, those that the shard's automaton found to recur, and what is left."""
+
+    def cut(shard: list[tuple], passages: Shard) -> Iterator[tuple]:
+        passages.compile()
+        for key, words, asked, copied in shard:
+            kept = words
+            if copied:
+                kept = []
+            elif asked:
+                gone = passages.covered(key, words)
+                kept = [w for w, out in zip(words, gone.tolist()) if not out] if gone.any() else words
+            joined = b" ".join(kept)
+            yield len(words), len(words) - len(kept), joined.decode(), hashlib.sha256(joined).hexdigest()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
+            shard: list[tuple] = []
+            passages, n = Shard(window), 0
             texts = batch.column(1).field(_text_place(batch.schema.field(1).type))
-            for text, recurring in zip(texts, batch.column(2)):
-                words = _words(text.as_py())
-                kept, n = words, len(words)
-                if recurring.is_valid and n >= window:
-                    gone = covered(words, recurring.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                    kept = [w for w, out_ in zip(words, gone.tolist()) if not out_]
-                joined = b" ".join(kept)
-                out.append((n, n - len(kept), joined.decode(), hashlib.sha256(joined).hexdigest()))
+            for key, text, found in zip(batch.column(0).to_pylist(), texts, batch.column(2)):
+                words, copied = _words(text.as_py()), False
+                asked = found.is_valid and len(words) >= window
+                if asked:
+                    for owner, first, stretch in zip(*(found.values.field(i).to_pylist() for i in range(3))):
+                        if owner is None:
+                            copied = True
+                        else:
+                            passages.add(owner, first, stretch)
+                shard.append((key, words, asked, copied))
+                n += len(words)
+                if n >= SHARD_WORDS:
+                    out += cut(shard, passages)
+                    shard, passages, n = [], Shard(window), 0
+            out += cut(shard, passages)
             columns = zip(*out) if out else ((), (), (), ())
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
@@ -275,19 +402,27 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     stands anywhere else too, in another row or the same; windows are judged on the input. ``kept_text`` is the words
     left, joined by one space. A text shorter than a window keeps everything. A repeated row is another place:
     both lose what they share. doc_id may be null, as rows are told apart by doc_id and text together.
-    Windows are told apart by 64-bit hashes and the words of their phrase.
+    Nothing goes but what was found word for word elsewhere. Partners are sought by 64-bit hashes of windows: where a third,
+    different window has the hash of two equal ones, these may not be led to one another and stay.
     """
     key = F.xxhash64("doc_id", "text").alias("key")
     rows = docs.select(key, F.struct("*").alias("row"))
-    # the same exchange of whole rows serves both joins
+    # the same exchange of whole rows serves all joins
     phrases = _recurring(docs.select(key, "text").mapInArrow(_phrases(window), ROWS))
-    # sorted, so that a repeated task meets its texts in the same order and proves the same values
-    shards = rows.join(phrases, "key").select("key", "row", "values").sortWithinPartitions("key")
-    windows = _recurring(shards.mapInArrow(_located_windows(window), ROWS))
+    # sorted, so that a repeated task meets its texts in the same order and names the same partners
+    candidates = rows.join(phrases, "key").select("key", "row", "values").sortWithinPartitions("key")
+    asked = _asked(candidates.mapInArrow(_places(window), PLACES))
+    schema = "key bigint, owner bigint, first int, words string"
+    sent = rows.join(asked, "key").select("key", "row", "wanted").mapInArrow(_passages(window), schema)
+    # rows that are repeated as a whole have each other for partners
+    twice = docs.select(key, F.xxhash64(F.lit("twice"), "text", "doc_id").alias("mark")).groupBy("key", "mark").count().where("count > 1")
+    nobody = [F.lit(None).cast(kind).alias(name) for kind, name in (("bigint", "owner"), ("int", "first"), ("string", "words"))]
+    sent = sent.unionByName(twice.select("key", *nobody))
+    passages = sent.groupBy("key").agg(F.collect_list(F.struct("owner", "first", "words")).alias("passages"))
     kind = rows.schema["row"].dataType.simpleString()
     return (
-        rows.join(windows, "key", "left")
-        .select("key", "row", "values")
+        rows.join(passages, "key", "left")
+        .select("key", "row", "passages")
         .mapInArrow(_removal(window), f"row {kind}, n_words bigint, n_removed bigint, kept_text string, kept_sha256 string")
     )
 

@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from fleetlens.llm.passages import remove_repeats, without_repeats
+from fleetlens.llm import passages
+from fleetlens.llm.passages import Shard, remove_repeats, without_repeats
 
 from . import brute
 
@@ -56,3 +59,54 @@ def test_columns_stay(spark):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def cut(texts, sent, window=35):
+    """What the last step makes of texts, given the passages sent to each: ``(owner, first word, words)``."""
+    row = pa.array([{"doc_id": i, "text": t} for i, t in enumerate(texts)], pa.struct([("doc_id", pa.int64()), ("text", pa.string())]))
+    passage = pa.struct([("owner", pa.int64()), ("first", pa.int32()), ("words", pa.string())])
+    found = pa.array([s and [dict(zip(("owner", "first", "words"), p)) for p in s] for s in sent], pa.list_(passage))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), row, found], ["key", "row", "passages"])
+    return [n for out in passages._removal(window)(iter([batch])) for n in out.column(2).to_pylist()]
+
+
+def test_words_go_only_where_the_automaton_hits(monkeypatch):
+    shared = " ".join(f"w{i}" for i in range(60))
+    texts = [f"a b {shared} c", f"{shared} d"]
+    sent = [[(1, 0, texts[1])], [(0, 0, texts[0])]]
+    assert cut(texts, sent) == [60, 60]
+    assert cut(texts, [None, None]) == [0, 0]
+    whole = Shard.compile
+
+    def emptied(self):
+        whole(self)
+        self.automaton.clear()
+
+    monkeypatch.setattr(Shard, "compile", emptied)
+    assert cut(texts, sent) == [0, 0]
+
+
+def test_passages_that_only_seem_equal_remove_nothing():
+    """As if hashes had led a text to a partner that has other words."""
+    text = " ".join(f"w{i}" for i in range(40))
+    near = " ".join("other" if i == 17 else f"w{i}" for i in range(40))
+    assert [cut([text], [[sent]]) for sent in [(7, 0, near), (0, 0, text), (0, 5, text)]] == [[0], [0], [40]]
+    # the partner's window is only reached through an anchor in its middle
+    assert cut([" ".join(f"w{i}" for i in range(3, 38))], [[(7, 0, text)]]) == [35]
+
+
+def test_alternating_words_do_not_collide():
+    """Sums of powers cancel out over such sequences, whatever the multiplier."""
+    bits = np.array([bin(i).count("1") & 1 for i in range(1 << 13)])
+    hashes = passages.WordHashes().of([b"a" if b else b"b" for b in bits])
+    found = passages._joined(hashes, 1 << 12)
+    assert found[0] != found[1 << 12]
+
+
+def test_partner_of_a_long_text(spark):
+    rnd = random.Random(4)
+    words = [f"l{rnd.random()}" for _ in range(3000)]
+    rows = [(0, " ".join(words), "en", "s", 1)]
+    rows += [(i, f"x{i} " + " ".join(words[i * 61 : i * 61 + 33 + i % 5]) + f" y{i}", "en", "s", 1) for i in range(1, 40)]
+    rows += [(50, " ".join(words[100:900] + ["z"] + words[500:1300]), "en", "s", 1)]
+    check(spark, rows, 35)
