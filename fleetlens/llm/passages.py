@@ -180,26 +180,33 @@ class Partners:
         self.once: set[int] = set()
         self.second: dict[int, tuple[int, int]] = {}
 
-    def of(self, key: int, values: list[int], starts: list[int]) -> list[tuple[int | None, int | None]]:
+    def of(self, key: int, values: list[int], passages: list[int]) -> tuple[list[int], list[tuple[int, int]]]:
+        """Numbers of the values whose partner others must find, and the different partners of the rest."""
         if len(self.once) > REMEMBERED // 2:
             self.once.clear()
             self.second.clear()
-        out = []
-        for value, start in zip(values, starts):
+        new, told = [], set()
+        for i, value in enumerate(values):
+            place = self.second.get(value)
+            if place is not None:
+                told.add(place)
+                continue
+            new.append(i)
             if value in self.once:
-                out.append(self.second.get(value, (None, None)))
-                self.second.setdefault(value, (key, start))
+                self.second[value] = (key, passages[i])
             else:
                 self.once.add(value)
-                out.append((None, None))
-        return out
+        return new, sorted(told)
 
 
-PLACES = "key bigint, value bigint, start int, last int, partner bigint, partner_start int"
+PLACES = "key bigint, value bigint, passage int, again int, partner bigint, partner_passage int"
 
 
 def _places(window: int):
-    """The windows around recurring phrases: hash, first and last start in the text, and a partner if the task knows one."""
+    """The windows around recurring phrases: hash, passage, and the last passage with it, too, if the text repeats it.
+
+    Of windows with a partner known to the task only the different partners are told, under the hash zero.
+    """
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
     names = [field.split()[0] for field in PLACES.split(", ")]
 
@@ -218,9 +225,18 @@ def _places(window: int):
                 found = _joined(hashed ^ np.uint64(0x9E3779B97F4A7C15), window)[starts]
                 distinct, first = np.unique(found, return_index=True)
                 last = len(found) - 1 - np.unique(found[::-1], return_index=True)[1]
-                distinct, first, last = distinct.view(np.int64), starts[first], starts[last]
-                known = partners.of(key, distinct.tolist(), first.tolist())
-                columns = (np.full(len(distinct), key), distinct, first, last, *zip(*known)) if known else ((),) * 6
+                once, distinct = last == first, distinct.view(np.int64)
+                first, last = starts[first] // PASSAGE_STARTS, starts[last] // PASSAGE_STARTS
+                new, told = partners.of(key, distinct.tolist(), first.tolist())
+                partner, passage = zip(*told) if told else ((), ())
+                columns = (
+                    np.full(len(new) + len(told), key),
+                    np.concatenate((distinct[new], np.zeros(len(told), np.int64))),
+                    np.concatenate((first[new], np.zeros(len(told), np.int64))),
+                    pa.array(last[new], pa.int32(), mask=once[new]).to_pylist() + [None] * len(told),
+                    [None] * len(new) + list(partner),
+                    [None] * len(new) + list(passage),
+                )
                 parts.append([pa.array(c, k) for c, k in zip(columns, kinds)])
             whole = [pa.concat_arrays(c) for c in zip(*parts)] if parts else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays(whole, names)
@@ -232,17 +248,16 @@ def _asked(places: DataFrame) -> DataFrame:
     """``key, wanted``: for each text that is a partner, the passages of it that are wanted, and by which texts."""
     # rows that know their partner need no company and are dealt out by text
     told = F.col("partner").isNotNull()
-    own = F.struct("key", "start")
+    own = F.struct("key", "passage")
     same = Window.partitionBy("value", F.when(told, F.col("key")))
     found = places.select("*", F.min(own).over(same).alias("low"), F.max(own).over(same).alias("high"))
-    given = F.struct(F.col("partner").alias("key"), F.col("partner_start").alias("start"))
+    given = F.struct(F.col("partner").alias("key"), F.col("partner_passage").alias("passage"))
     other = F.when(told, given).when(F.col("low") != own, F.col("low")).when(F.col("high") != own, F.col("high"))
     # a window that only its own text repeats has partners there: its first place and its last
-    inside = F.array(own, F.struct("key", F.col("last").alias("start")))
-    asks = found.withColumn("other", other).where("other IS NOT NULL OR last > start")
+    inside = F.array(own, F.struct("key", F.col("again").alias("passage")))
+    asks = found.withColumn("other", other).where("other IS NOT NULL OR again IS NOT NULL")
     asks = asks.select(F.col("key").alias("asker"), F.explode(F.when(F.col("other").isNull(), inside).otherwise(F.array("other"))).alias("at"))
-    passage = F.floor(F.col("at.start") / PASSAGE_STARTS).cast("int").alias("passage")
-    return asks.groupBy(F.col("at.key").alias("key")).agg(F.collect_set(F.struct(passage, "asker")).alias("wanted"))
+    return asks.groupBy(F.col("at.key").alias("key")).agg(F.collect_set(F.struct("at.passage", "asker")).alias("wanted"))
 
 
 def _passages(window: int):
@@ -317,6 +332,7 @@ class Shard:
             return gone
         numbers = [self.numbers.get(w, -1) for w in words]
         doc, reach = np.array(numbers, np.int64), self.window - self.size
+        compared: set[tuple[int, int]] = set()
         for end, anchor in self.automaton.iter("".join([self.letters[n] for n in numbers])):
             at = end // DIGITS - self.size + 1
             # what lies further off is in reach of another anchor
@@ -324,25 +340,30 @@ class Shard:
             if near.all():
                 continue
             for passage, place in self.anchors[anchor]:
-                other, places = self.passages[passage]
-                if all(p == (key, at - place) for p in places):
+                start = at - place
+                if (passage, start) in compared:
                     continue
-                back = min(at, place, reach)
-                left = _equal(doc[at - back : at][::-1], other[place - back : place][::-1])
-                after, there = at + self.size, place + self.size
-                ahead = min(len(doc) - after, len(other) - there, reach)
-                right = _equal(doc[after : after + ahead], other[there : there + ahead])
-                if left + self.size + right >= self.window:
-                    gone[at - left : after + right] = True
-                    if near.all():
-                        break
+                compared.add((passage, start))
+                other, places = self.passages[passage]
+                # a second place with the same words is never the text's own
+                if len(places) > 1 or places[0] != (key, start):
+                    self._mark(gone, doc, other, start)
         return gone
 
-
-def _equal(one: np.ndarray, other: np.ndarray) -> int:
-    """Length of the common start."""
-    differs = np.flatnonzero(one != other)
-    return int(differs[0]) if len(differs) else len(one)
+    def _mark(self, gone: np.ndarray, doc: np.ndarray, other: np.ndarray, start: int) -> None:
+        """Mark the stretches of a window or more in which the text, from word ``start`` on, is the passage."""
+        low, high = max(0, start), min(len(doc), start + len(other))
+        if high - low < self.window:
+            return
+        differs = np.flatnonzero(doc[low:high] != other[low - start : high - start])
+        if not len(differs):
+            gone[low:high] = True
+            return
+        begin = low
+        for stop in [*(differs + low).tolist(), high]:
+            if stop - begin >= self.window:
+                gone[begin:stop] = True
+            begin = stop + 1
 
 
 def _text_place(kind: pa.StructType) -> int:
