@@ -203,9 +203,9 @@ PLACES = "key bigint, value bigint, passage int, again int, partner bigint, part
 
 
 def _places(window: int):
-    """The windows around recurring phrases: hash, passage, and the last passage with it, too, if the text repeats it.
+    """The windows around recurring phrases: hash, passage, and the last passage with it, too, if the text repeats it, else -1.
 
-    Of windows with a partner known to the task only the different partners are told, under the hash zero.
+    Of windows with a partner known to the task only the different partners are told, under the hash zero; elsewhere their passage is -1.
     """
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
     names = [field.split()[0] for field in PLACES.split(", ")]
@@ -213,7 +213,7 @@ def _places(window: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, partners = WordHashes(), Partners()
         for batch in batches:
-            parts: list[list[pa.Array]] = []
+            parts: list[tuple] = []
             texts = batch.column(1).field(_text_place(batch.schema.field(1).type))
             for key, text, recurring in zip(batch.column(0).to_pylist(), texts, batch.column(2)):
                 words = _words(text.as_py())
@@ -224,21 +224,20 @@ def _places(window: int):
                 starts = np.flatnonzero(np.isin(smallest_phrases(hashed, window)[1], values))
                 found = _joined(hashed ^ np.uint64(0x9E3779B97F4A7C15), window)[starts]
                 distinct, first = np.unique(found, return_index=True)
-                last = len(found) - 1 - np.unique(found[::-1], return_index=True)[1]
-                once, distinct = last == first, distinct.view(np.int64)
-                first, last = starts[first] // PASSAGE_STARTS, starts[last] // PASSAGE_STARTS
+                again = np.full(len(distinct), -1)
+                if len(distinct) < len(found):
+                    last = len(found) - 1 - np.unique(found[::-1], return_index=True)[1]
+                    again = np.where(last > first, starts[last] // PASSAGE_STARTS, -1)
+                distinct, first = distinct.view(np.int64), starts[first] // PASSAGE_STARTS
                 new, told = partners.of(key, distinct.tolist(), first.tolist())
-                partner, passage = zip(*told) if told else ((), ())
-                columns = (
-                    np.full(len(new) + len(told), key),
-                    np.concatenate((distinct[new], np.zeros(len(told), np.int64))),
-                    np.concatenate((first[new], np.zeros(len(told), np.int64))),
-                    pa.array(last[new], pa.int32(), mask=once[new]).to_pylist() + [None] * len(told),
-                    [None] * len(new) + list(partner),
-                    [None] * len(new) + list(passage),
-                )
-                parts.append([pa.array(c, k) for c, k in zip(columns, kinds)])
-            whole = [pa.concat_arrays(c) for c in zip(*parts)] if parts else [pa.array([], k) for k in kinds]
+                if len(new) < len(distinct):
+                    distinct, first, again = distinct[new], first[new], again[new]
+                owner = np.full(len(distinct), key)
+                parts.append((owner, distinct, first, again, owner, np.full(len(distinct), -1)))
+                if told:
+                    none = np.zeros(len(told), np.int64)
+                    parts.append((none + key, none, none, none - 1, *np.array(told, np.int64).T))
+            whole = [pa.array(np.concatenate(c), k, safe=False) for c, k in zip(zip(*parts), kinds)] if parts else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays(whole, names)
 
     return work
@@ -247,7 +246,7 @@ def _places(window: int):
 def _asked(places: DataFrame) -> DataFrame:
     """``key, wanted``: for each text that is a partner, the passages of it that are wanted, and by which texts."""
     # rows that know their partner need no company and are dealt out by text
-    told = F.col("partner").isNotNull()
+    told = F.col("partner_passage") >= 0
     own = F.struct("key", "passage")
     same = Window.partitionBy("value", F.when(told, F.col("key")))
     found = places.select("*", F.min(own).over(same).alias("low"), F.max(own).over(same).alias("high"))
@@ -255,7 +254,7 @@ def _asked(places: DataFrame) -> DataFrame:
     other = F.when(told, given).when(F.col("low") != own, F.col("low")).when(F.col("high") != own, F.col("high"))
     # a window that only its own text repeats has partners there: its first place and its last
     inside = F.array(own, F.struct("key", F.col("again").alias("passage")))
-    asks = found.withColumn("other", other).where("other IS NOT NULL OR again IS NOT NULL")
+    asks = found.withColumn("other", other).where("other IS NOT NULL OR again >= 0")
     asks = asks.select(F.col("key").alias("asker"), F.explode(F.when(F.col("other").isNull(), inside).otherwise(F.array("other"))).alias("at"))
     return asks.groupBy(F.col("at.key").alias("key")).agg(F.collect_set(F.struct("at.passage", "asker")).alias("wanted"))
 
