@@ -87,6 +87,17 @@ def test_maps_are_replaced_whole(spark):
     assert overlay(docs, members).first().fields == {"attributes": '{"b":2}'}
 
 
+def broadcasts(frame):
+    """Joins that gather a table other than the platforms' on the driver."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return sum("BroadcastHashJoin" in line and "BroadcastHashJoin [platform#" not in line for line in plan.splitlines())
+
+
+def test_jobs_gather_only_platforms_on_the_driver(spark, ensemble):
+    """Tables that grow with the fleet are not broadcast, however small their sizes look."""
+    assert broadcasts(job_manifest(plan_directory(spark, [str(ensemble)]))) == 0
+
+
 def test_coupled_plan(spark, ensemble):
     runs = plan_directory(spark, [str(ensemble / "adcirc")])
     jobs = {r.job_name: r for r in job_manifest(runs).collect()}
