@@ -98,6 +98,12 @@ def test_jobs_gather_only_platforms_on_the_driver(spark, ensemble):
     assert broadcasts(job_manifest(plan_directory(spark, [str(ensemble)]))) == 0
 
 
+def test_planned_runs_gather_only_platforms_on_the_driver(spark, ensemble):
+    plan = plan_ensembles(parse_documents(scan_config_docs(spark, [str(ensemble)])))
+    assert broadcasts(plan.runs) == 0
+    assert broadcasts(plan.links) == 0
+
+
 def test_coupled_plan(spark, ensemble):
     runs = plan_directory(spark, [str(ensemble / "adcirc")])
     jobs = {r.job_name: r for r in job_manifest(runs).collect()}
