@@ -104,6 +104,14 @@ def test_planned_runs_gather_only_platforms_on_the_driver(spark, ensemble):
     assert broadcasts(plan.links) == 0
 
 
+def test_planned_outputs_gather_only_platforms_on_the_driver(spark, ensemble):
+    docs = parse_documents(scan_config_docs(spark, [str(ensemble)]))
+    plan = plan_ensembles(docs)
+    assert broadcasts(plan.outputs) == 0
+    assert broadcasts(plan.problems) == 0
+    assert broadcasts(member_documents(docs, plan.runs)) == 0
+
+
 def test_coupled_plan(spark, ensemble):
     runs = plan_directory(spark, [str(ensemble / "adcirc")])
     jobs = {r.job_name: r for r in job_manifest(runs).collect()}
