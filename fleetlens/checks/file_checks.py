@@ -179,7 +179,7 @@ def manifest_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_job_manifest(rows.where("o_custkey % 3 <> 0"), folder)
     write_job_manifest(later, folder)
     write_job_manifest(rows.where("o_custkey % 5 = 0").withColumn("job", -F.col("job")), folder, overwrite=True)
-    return spark.read.schema("job bigint, config_dir string").parquet(folder)
+    return spark.read.schema("job bigint, config_dir string").parquet(folder).select("job", "config_dir")
 
 
 def _write_tree(batches):

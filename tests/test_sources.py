@@ -15,7 +15,7 @@ from fleetlens.sources import run_tree
 from fleetlens.sources.geo import scan_best_track, scan_mesh, scan_nodal_attributes
 from fleetlens.sources.ranges import cut_ranges, lines_between, listed_path, read_lines, read_texts
 from fleetlens.sources.run_files import scan_forcing_files, scan_run_files
-from fleetlens.sources.sinks import write_config_docs, write_job_manifest
+from fleetlens.sources.sinks import MANIFEST_PARTS, write_config_docs, write_job_manifest
 from fleetlens.sources.text import latest_jobs, listed_log_lines, scan_config_docs, scan_job_queue, scan_log_lines, scan_tree_lines
 
 MESH = """made up
@@ -244,6 +244,22 @@ def test_manifest_sink(spark, tmp_path):
     assert len(kept()) == 6
 
 
+def test_manifest_of_many_configurations_has_few_folders(spark, tmp_path):
+    path, n = str(tmp_path / "jobs"), 2000
+    name = F.concat(F.lit("/c/"), F.col("id"))
+    rows = spark.range(n).select(name.alias("config_dir"), F.col("id").alias("job"))
+    kept = lambda: {r.config_dir: (r.job, r.note) for r in spark.read.schema("job bigint, note string, config_dir string").parquet(path).collect()}
+    write_job_manifest(rows.where("id % 3 <> 0").withColumn("note", F.lit("first")), path)
+    write_job_manifest(rows.withColumn("job", -F.col("job")), path)
+    write_job_manifest(rows.where("id = 4 or id = 6").withColumn("job", F.col("job") + n), path, overwrite=True)
+    wanted = {f"/c/{i}": (i, "first") if i % 3 else (-i, None) for i in range(n)}
+    assert kept() == wanted | {"/c/4": (4 + n, None), "/c/6": (6 + n, None)}
+    assert len([p for p in (tmp_path / "jobs").iterdir() if p.is_dir()]) <= MANIFEST_PARTS
+    rows.where("id < 2").write.partitionBy("config_dir").parquet(str(tmp_path / "old"))
+    with pytest.raises(ValueError, match="folder for each configuration"):
+        write_job_manifest(rows, str(tmp_path / "old"))
+
+
 def plain_lines(data):
     place, out = 0, []
     for line in data.splitlines(True):
