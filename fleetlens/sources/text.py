@@ -116,11 +116,17 @@ def scan_job_queue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_job_queue(lines: DataFrame) -> DataFrame:
-    """Rows of queue snapshots given as ``(path, line_no, line)``; the first line of each is its header."""
-    header = lines.groupBy("path").agg(F.min("line_no").alias("_header"))
+    """Rows of queue snapshots given as ``(path, line_no, line)``; the first line of each is its header.
+
+    A snapshot may hold most of all lines, so its lines are dealt over many tasks, and its header goes to each of them.
+    """
+    slices = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    header = lines.groupBy("path").agg(F.min("line_no").alias("_header")).select("path", "_header", every.alias("_slice"))
     words = F.split(F.trim("line"), r"\s+")
     return (
-        lines.join(header, "path")
+        lines.withColumn("_slice", F.pmod(F.xxhash64("line_no"), F.lit(slices)).cast("int"))
+        .join(header, ["path", "_slice"])
         .where((F.col("line_no") > F.col("_header")) & (F.size(words) >= 2))
         .select(
             F.get(words, 0).alias("job_name"), F.get(words, 1).alias("workdir"), F.get(words, 2).alias("job_id"), "line_no"

@@ -16,7 +16,7 @@ from fleetlens.sources.geo import scan_best_track, scan_mesh, scan_nodal_attribu
 from fleetlens.sources.ranges import cut_ranges, lines_between, listed_path, read_lines, read_texts
 from fleetlens.sources.run_files import scan_forcing_files, scan_run_files
 from fleetlens.sources.sinks import MANIFEST_PARTS, write_config_docs, write_job_manifest
-from fleetlens.sources.text import latest_jobs, listed_log_lines, scan_config_docs, scan_job_queue, scan_log_lines, scan_tree_lines
+from fleetlens.sources.text import latest_jobs, listed_log_lines, parse_job_queue, scan_config_docs, scan_job_queue, scan_log_lines, scan_tree_lines
 
 MESH = """made up
 2 4
@@ -260,6 +260,22 @@ def test_manifest_of_many_configurations_has_few_folders(spark, tmp_path):
         write_job_manifest(rows, str(tmp_path / "old"))
 
 
+def test_lines_of_one_snapshot_are_dealt_over_tasks(spark):
+    lines = spark.range(2000).select(F.lit("q").alias("path"), (F.col("id") + 5).alias("line_no"), F.concat(F.lit(" n"), F.col("id"), F.lit(" /w 7")).alias("line"))
+    odd = spark.createDataFrame([("q", 0, "NAME WORK_DIR"), ("q", 1, "short"), ("r", 9, "a /first"), ("r", 8, "head er"), ("r", None, "no place"), (None, 3, "no path")], "path string, line_no bigint, line string")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        found = parse_job_queue(lines.unionByName(odd)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert {(r.job_name, r.workdir, r.job_id, r.line_no) for r in found} == {("a", "/first", None, 9)} | {(f"n{i}", "/w", "7", i + 5) for i in range(2000)}
+    assert len(found) == 2001 and len({r.task for r in found}) > 2
+
+
 def plain_lines(data):
     place, out = 0, []
     for line in data.splitlines(True):
