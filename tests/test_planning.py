@@ -112,6 +112,16 @@ def test_planned_outputs_gather_only_platforms_on_the_driver(spark, ensemble):
     assert broadcasts(member_documents(docs, plan.runs)) == 0
 
 
+@pytest.mark.parametrize("stop_at_equal", [False, True])
+def test_overlay_broadcasts_neither_side(spark, stop_at_equal):
+    docs = spark.createDataFrame([("c", "adcirc", {"a": "1", "b": "2"})], "config_dir string, kind string, fields map<string,string>")
+    members = spark.createDataFrame([("c", f"r{i}", {"adcirc": {"a": "1", "b": str(i)}}) for i in range(3)],
+                                    "config_dir string, run_name string, overrides map<string,map<string,string>>")
+    members_docs = overlay(docs, members, stop_at_equal)
+    assert broadcasts(members_docs) == 0
+    assert {r.run_name: r.fields["b"] for r in members_docs.collect()} == {f"r{i}": "2" if stop_at_equal else str(i) for i in range(3)}
+
+
 def test_coupled_plan(spark, ensemble):
     runs = plan_directory(spark, [str(ensemble / "adcirc")])
     jobs = {r.job_name: r for r in job_manifest(runs).collect()}
