@@ -76,6 +76,23 @@ def running_sum(df: DataFrame, keys: list[str], order: list, value: str, name: s
     )
 
 
+def earlier_max(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
+    """Largest ``value`` of the rows before this one by ``order``; null on the first row."""
+    sliced = ordered_slices(df, [], order)
+    summary = (
+        sliced.groupBy("_slice")
+        .agg(F.max(value).alias("_n"))
+        .withColumn("_earlier", F.max("_n").over(before_slice([]).rowsBetween(Window.unboundedPreceding, -1)))
+        .drop("_n")
+    )
+    inside = Window.partitionBy("_slice").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        on_slices(sliced, summary, [])
+        .withColumn(name, F.greatest(F.max(value).over(inside), F.col("_earlier")))
+        .drop("_slice", "_seq", "_earlier")
+    )
+
+
 def previous_values(df: DataFrame, keys: list[str], order: list, columns: list[str], prefix: str = "prev_") -> DataFrame:
     """The columns of the row before this one inside its key; null on the first row."""
     sliced = ordered_slices(df, keys, order)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.logs import classify_lines, file_role, round_percent, run_number, status_text
 from ..functions.paths import base_name
 from ..schemas import MINIMUM_OUTPUT_BYTES, MODEL_MARKERS, SEVERITY
-from .ordered import last_wins, rank_within
+from .ordered import earlier_max, last_wins, rank_within
 
 # Fixed values here and in ``collect_issues``: the texts of the messages.
 _STATUS_NAMES = sorted(SEVERITY, key=SEVERITY.get)
@@ -50,19 +50,17 @@ def detect_model(run_files: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def outermost_runs(runs: DataFrame) -> DataFrame:
-    """Runs that do not lie inside another run's directory (a run directory is not searched further)."""
-    parts = F.split("run_path", "/")
-    above = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
-        lambda depth: F.array_join(F.slice(parts, 1, depth), "/"),
-    )
-    nested = (
-        runs.select("run_path", F.explode(above).alias("_above"))
-        .where(F.col("_above") != F.col("run_path"))
-        .join(runs.select(F.col("run_path").alias("_above")), "_above", "left_semi")
-        .select("run_path")
-    )
-    return runs.join(nested, "run_path", "left_anti")
+    """Runs that do not lie inside another run's directory (a run directory is not searched further).
+
+    In the order of path parts a run is followed by all runs inside it, so the ends of these stretches nest, and a run lies inside
+    another one if an earlier end is beyond its own. That needs no row per directory above a run, and no task gets all runs of a directory.
+    """
+    # a separator sorts before all other characters, so the lowest two are written as two each
+    parts = F.replace(F.replace("run_path", F.lit("\x01"), F.lit("\x01\x02")), F.lit("\x00"), F.lit("\x01\x01"))
+    parts = F.replace(parts, F.lit("/"), F.lit("\x00"))
+    placed = runs.select("run_path", *[c for c in runs.columns if c != "run_path"], F.concat(parts, F.lit("\x00")).alias("_begin"), F.concat(parts, F.lit("\x01")).alias("_end"))
+    ends = earlier_max(placed, [F.col("_begin")], "_end", "_beyond")
+    return ends.where(~F.coalesce(F.col("_beyond") > F.col("_end"), F.lit(False))).drop("_begin", "_end", "_beyond")
 
 
 def undersized_outputs(run_files: DataFrame, minimum: int = MINIMUM_OUTPUT_BYTES) -> DataFrame:

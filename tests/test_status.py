@@ -1,6 +1,7 @@
 """Run state from real directories, one per rule."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +150,20 @@ def test_runs_inside_runs_are_left_out(spark, fleet_dir, tables):
     assert "nested" in {r.run_path.split("/")[-1] for r in detect_model(tables[0]).collect()}
 
 
+def test_outermost_of_odd_paths(spark):
+    """Against the rule itself: no directory above a run is a run."""
+    rnd = random.Random(3)
+    paths = ["".join(rnd.choice(["/", "/", "a", "b", "\x00", "\x01", "\x02", ".", "-", "é"]) for _ in range(rnd.randrange(0, 9))) for _ in range(400)]
+    paths += [*(f"/flat/{i}" for i in range(300)), "/flat/7/in", "/flat/7/in", "/flat/7.x", "/flat/7", None, None]
+    runs = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "n int, run_path string")
+    known = set(paths)
+    above = lambda p: {"/".join(p.split("/")[:depth]) for depth in range(1, p.count("/") + 1)} - {p}
+    found = outermost_runs(runs)
+    assert found.columns == ["run_path", "n"]
+    assert sorted(r.n for r in found.collect()) == [i for i, p in enumerate(paths) if p is None or not above(p) & known]
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_report_order(spark, fleet_dir):
     rows = fleet_status(spark, [str(fleet_dir)], model="ADCIRC").collect()
     assert [r.progress for r in rows] == sorted((r.progress for r in rows), reverse=True)
