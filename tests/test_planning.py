@@ -122,6 +122,22 @@ def test_overlay_broadcasts_neither_side(spark, stop_at_equal):
     assert {r.run_name: r.fields["b"] for r in members_docs.collect()} == {f"r{i}": "2" if stop_at_equal else str(i) for i in range(3)}
 
 
+@pytest.mark.parametrize("stop_at_equal", [False, True])
+def test_overlay_sorts_no_members(spark, stop_at_equal):
+    """Sorted, all members of a task lie in its memory, and maps take many times their compressed size."""
+    docs = spark.createDataFrame([("c", "adcirc", {"a": "1"}), ("c", "slurm", {}), ("d", "adcirc", {"a": "3"}), (None, "adcirc", {}), ("e", "adcirc", None)],
+                                 "config_dir string, kind string, fields map<string,string>")
+    members = spark.createDataFrame([("c", "r", {"adcirc": {"a": "2"}}), ("c", "r", {"adcirc": {"a": "2"}}), ("d", "r", None), (None, "r", None), ("e", "r", None), ("f", "r", None)],
+                                    "config_dir string, run_name string, overrides map<string,map<string,string>>")
+    found = overlay(docs, members, stop_at_equal)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [config_dir" in plan and "BuildLeft" in plan
+    assert "SortMergeJoin" not in plan and "Sort [" not in plan
+    rows = sorted((r.config_dir, r.kind, r.fields) for r in found.collect() if r.config_dir != "e")
+    assert rows == [("c", "adcirc", {"a": "2"})] * 2 + [("c", "slurm", {})] * 2 + [("d", "adcirc", {"a": "3"})]
+    assert [r.fields for r in found.where("config_dir = 'e'").collect()] == [None]
+
+
 def test_coupled_plan(spark, ensemble):
     runs = plan_directory(spark, [str(ensemble / "adcirc")])
     jobs = {r.job_name: r for r in job_manifest(runs).collect()}
