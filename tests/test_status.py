@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from fleetlens.plans.backlog import backlog
 from fleetlens.plans.fleet_status import fleet_problem_tree, fleet_problems, fleet_records, fleet_report, fleet_status
 from fleetlens.sources.run_files import scan_run_files
 from fleetlens.sources.sinks import write_status_report
-from fleetlens.sources.text import scan_log_lines
+from fleetlens.sources.text import parse_job_queue, scan_log_lines
 
 OUT = "ADCIRC_HOTSTART_x.out.log"
 ADCIRC = {"fort.14": "m", "fort.15": "m", "fort.16": "ok"}
@@ -272,6 +273,24 @@ def test_unqueued_by_workdir(spark):
         unqueued_runs(runs, queue, status, match="id")
 
 
+@pytest.mark.parametrize("match", ["name", "workdir"])
+def test_unqueued_deals_the_lines_of_a_snapshot(spark, match):
+    """All lines of a snapshot have one path, so a join by path alone would bring them to one task."""
+    runs = spark.range(40).select(F.concat(F.lit("r"), "id").alias("run_name"), F.concat(F.lit("/r/"), "id").alias("run_path"), F.lit("not_started").alias("status"))
+    lines = spark.range(200).select(F.lit("q").alias("path"), (F.col("id") + 1).alias("line_no"), F.concat(F.lit(" r"), F.col("id") % 39, F.lit(" /r/"), F.col("id") % 38, F.lit(" 7")).alias("line"))
+    header = spark.createDataFrame([("q", 0, "r39 /r/39 1")], "path string, line_no bigint, line string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = unqueued_runs(runs, parse_job_queue(lines.unionByName(header)), runs, match)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = [r.run_name for r in found.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not re.search(r"Join \[path#\d+\], \[path#\d+\]", plan) and re.search(r"Join \[path#\d+, _slice#\d+\]", plan)
+    assert rows == (["r39"] if match == "name" else ["r38", "r39"])
+
+
 def test_status_report_sink(spark, tables, tmp_path):
     status = run_status(*tables).where("run_name = 'finished'").withColumn("note", F.lit(None).cast("string"))
     write_status_report(status, str(tmp_path / "report"))
