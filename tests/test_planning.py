@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from fleetlens.checks.config_checks import overlay_config, overlay_stop
 from fleetlens.functions.literals import literal_text
 from fleetlens.operators.config import (
     dropped_overrides,
@@ -138,6 +139,26 @@ def test_overlay_sorts_no_members(spark, stop_at_equal):
     assert [r.fields for r in found.where("config_dir = 'e'").collect()] == [None]
 
 
+@pytest.mark.parametrize("query", [overlay_config, overlay_stop])
+def test_lines_of_members_are_not_sorted_by_file_split(spark, tmp_path, query):
+    """Sorted, all lines of a split lie in its task's memory, and a split grows with the input up to the largest one a file is cut into."""
+    lines = [(1, 7, 5.0, "R"), (1, 7, 3.0, "A"), (2, 7, 4.0, "N"), (3, 8, 9.0, "R"), (4, None, 1.0, "A"), (None, 7, 2.0, "A"), (5, 7, None, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string").repartition(3).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(7, 6, "n", 10.5, "b")], "p_partkey long, p_size int, p_name string, p_retailprice double, p_brand string").write.parquet(
+        str(tmp_path / "part.parquet")
+    )
+    found = query(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    scan = next(i for i, line in enumerate(plan) if "FileScan" in line and "l_partkey" in line)
+    dealt = max(i for i, line in enumerate(plan[:scan]) if "Exchange" in line)
+    assert not [line for line in plan[dealt:scan] if "Sort" in line or "Aggregate" in line]
+    assert any("Sort [l_partkey" in line for line in plan[:dealt])
+    values = {(r.run_name, r.field): r.value for r in found.where("kind = 'adcirc'").collect()}
+    assert {run: (values[run, "processors"], values[run, "output_surface"], values[run, "fort_14_path"]) for run, _ in values} == {
+        "run_1": ("3", "false", "A"), "run_2": ("6", "true", "n"), "run_5": ("6", "true", "n"), None: ("2", "false", "A")
+    }
+
+
 def test_coupled_plan(spark, ensemble):
     runs = plan_directory(spark, [str(ensemble / "adcirc")])
     jobs = {r.job_name: r for r in job_manifest(runs).collect()}
